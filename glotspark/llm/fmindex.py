@@ -18,7 +18,6 @@ named like the outputs are replaced.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -289,5 +288,3 @@ def without_spans(text: F.Column, spans: F.Column) -> F.Column:
     return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fmindex, jaccard, langid, mixing, warc
+from . import chat, crf, fmindex, jaccard, knn, langid, mixing, warc
 from .shared import crc_fold, table
 
 
@@ -27,6 +27,16 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return crf.scan(docs, crf.fit(docs)).select("doc_id", *crf.digest(F.col("secret_spans")))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return knn.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fmindex.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -41,5 +51,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_warc, op5_chat_windows, op6_jaccard, op9_decontamination, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_warc, op5_chat_windows, op6_jaccard, op7_secrets, op8_neighbours, op9_decontamination, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_warc": warc.SQL}
