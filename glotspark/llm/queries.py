@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, crf, fmindex, jaccard, knn, langid, mixing, warc
+from . import chat, cotrain, crf, fmindex, jaccard, katz, knn, langid, mixing, warc
 from .shared import crc_fold, table
 
 
@@ -19,6 +19,19 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_fold(F.col("doc_id"), 5) == 1).alias("held_out"))
+    return katz.score(docs)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels")
+    scored = cotrain.predict(docs, cotrain.fit(docs, labels, "quality"))
+    scored = cotrain.predict(scored, cotrain.fit(docs, labels, "toxic"), prefix="toxic_")
+    keep = (F.col("score") >= 0.5) & (F.col("toxic_score") < 0.5)
+    return scored.select("doc_id", "text_score", "meta_score", "score", "toxic_score", keep.alias("keep"))
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(chat.control_case(table(spark, sf_dir, "conversations"))))
 
@@ -51,5 +64,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_warc, op5_chat_windows, op6_jaccard, op7_secrets, op8_neighbours, op9_decontamination, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_warc, op3_katz, op4_quality, op5_chat_windows, op6_jaccard, op7_secrets, op8_neighbours, op9_decontamination, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_warc": warc.SQL}
