@@ -9,7 +9,7 @@ documents that neither was trained on, and a logistic regression over the two ca
 views gives the score of every document.
 
 Models are fitted on the driver to at most about LABELLED labelled and POOL unlabelled
-documents, chosen by a hash of their ids; weights (256 KB) are broadcast and all documents
+documents, chosen by a hash of their ids; weights (2 MB) are broadcast and all documents
 are scored in one pass with no shuffle.
 
 Defined results: null text is empty; null source and language are values of their own; with
@@ -31,7 +31,9 @@ from pyspark.sql import types as T
 from . import tokens
 
 LABELLED, POOL, ROUNDS = 6000, 6000, 5
-WORDS, SOURCES = 1 << 15, 256
+WORDS, SOURCES = 1 << 18, 256
+#: Words in fewer documents of the sample than this have no weight: they are too rare to tell anything.
+RAREST = 5
 MEASURES = 12
 META = MEASURES + 2 * SOURCES
 
@@ -46,7 +48,7 @@ def views(text: pa.Array, source: pa.Array, lang: pa.Array) -> Iterator[tuple[np
         named.append(MEASURES + base + (np.concatenate(whole) % tokens.U(SOURCES)).astype(np.int64) if whole else np.zeros(0, np.int64))
     for i, j in tokens.slices(offsets):
         part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        starts, ends, first = tokens.words(part, off, tokens.NONSPACE)
+        starts, ends, first = tokens.words(part, off, tokens.ALNUM)
         ids = (tokens.hashes(part, starts, ends) % tokens.U(WORDS)).astype(np.int64)
         total = lambda mask, off=off: tokens.grouped_sum(mask, off)
         size = np.maximum(1, np.diff(off))
@@ -94,7 +96,7 @@ class Dense:
         return g @ self.x
 
 
-def logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, steps: int = 60, rate: float = 0.5, keep: float = 1e-4) -> np.ndarray:
+def logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, steps: int = 100, rate: float = 0.5, keep: float = 1e-5) -> np.ndarray:
     """Weights and, last, the intercept; full gradients with Adagrad."""
     w, bias = np.zeros(x.size), 0.0
     sum_w, sum_b = np.full(x.size, 1e-8), 1e-8
@@ -119,7 +121,8 @@ class Model:
         self.fitted = 0 < self.share < 1 and len(np.unique(label[known & (fold != 2)])) == 2 and len(np.unique(label[known & (fold == 2)])) == 2
         if not self.fitted:
             return
-        x = [Sparse([a for a, _ in rows], WORDS), Dense(np.stack([b for _, b in rows]).astype(float))]
+        times = np.bincount(np.concatenate([a for a, _ in rows]), minlength=WORDS)
+        x = [Sparse([a[times[a] >= RAREST] for a, _ in rows], WORDS), Dense(np.stack([b for _, b in rows]).astype(float))]
         own = [np.where(known & (fold != 2), label, -1) for _ in x]
         pool = ~known
         self.w = [np.zeros(0)] * 2
