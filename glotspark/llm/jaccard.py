@@ -85,36 +85,73 @@ def common(docs: DataFrame, width: int) -> np.ndarray:
     return rows["s"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-def prefix_length(n: np.ndarray | int, percent: int):
+def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc, n, a 128-bit key of the set, and the prefix in the shared order."""
-    order = common(docs, width)
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order, kind="stable")))
+def keys(s: np.ndarray, salt: int) -> tuple[np.int64, np.int64]:
+    """Two keys of a set: sums of differently mixed shingles."""
+    one, two = tokens.mix(s ^ tokens.U(salt)), tokens.mix(s ^ tokens.U(0xA5A5A5A55A5A5A5A + salt))
+    return tokens.mix(one.sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0], two.sum(dtype=np.uint64).view(np.int64)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of a set's hashes in 2**k equal ranges, about 4 to 8 in each: k, then a byte each, 255 for more."""
+    k = max(3, (len(s) >> 3).bit_length())
+    return bytes([k]) + np.minimum(np.bincount((s >> tokens.U(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> float:
+    """An upper bound of two sets' intersection, from their sketches."""
+    x, y = np.frombuffer(a, np.uint8, offset=1), np.frombuffer(b, np.uint8, offset=1)
+    if (x.max(initial=0) == 255) or (y.max(initial=0) == 255):
+        return math.inf
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    m = min(len(x), len(y))
+    return float(np.minimum(x.reshape(m, -1).sum(axis=1), y.reshape(m, -1).sum(axis=1)).sum())
+
+
+def described(docs: DataFrame, width: int, salt: int) -> DataFrame:
+    """doc, the set's size n, its two keys and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, place = shared.value
         for batch in batches:
             n, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            prefixes: list[np.ndarray] = [np.zeros(0, np.int64)] * batch.num_rows
+            drawn: list[bytes | None] = [None] * batch.num_rows
             for k, s in _sets(batch, width):
                 n[k] = len(s)
+                if len(s):
+                    one[k], two[k] = keys(s, salt)
+                    drawn[k] = sketch(s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), pa.array(drawn, pa.binary())], names=["doc", "n", "k1", "k2", "sketch"])
+
+    return docs.select("doc", "text").mapInArrow(run, "doc long, n long, k1 long, k2 long, sketch binary")
+
+
+def prefixes(docs: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
+    """For each document its set's key, the set's size, and its prefix in the shared order."""
+    order = common(docs, width)
+    shared = docs.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order, kind="stable")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, place = shared.value
+        for batch in batches:
+            node, n, kept = [], [], []
+            for _, s in _sets(batch, width):
                 if not len(s):
                     continue
-                one[k] = tokens.mix(s).sum(dtype=np.uint64).view(np.int64)
-                two[k] = tokens.mix(s ^ tokens.U(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64).view(np.int64)
+                node.append(keys(s, salt)[0])
+                n.append(len(s))
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     late = frequent[at] == s
                     s = np.concatenate([s[~late], s[late][np.argsort(place[at[late]])]])
-                prefixes[k] = s[: prefix_length(len(s), percent)].view(np.int64)
-            edges = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(one), pa.array(two), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))], names=["doc", "n", "k1", "k2", "prefix"])
+                kept.append(s[: prefix_length(len(s), percent)].view(np.int64))
+            if node:
+                edges = np.concatenate([[0], np.cumsum([len(p) for p in kept])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(kept)))], names=["node", "n", "prefix"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "node long, n int, prefix array<long>")
 
 
 def _can(percent: int) -> str:
@@ -123,11 +160,11 @@ def _can(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {need}"
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, set) for at least all of ``nodes``: a fixed-size bitmap of their hashes filters the documents."""
-    bits = 1 << min(28, max(20, (16 * nodes.count()).bit_length()))
+def _sets_of(docs: DataFrame, reps: DataFrame, width: int, salt: int) -> DataFrame:
+    """(node, set) of at least the documents ``reps`` (doc): a bitmap of their hashes, of bounded size, filters the texts."""
+    bits = 1 << min(28, max(20, (16 * reps.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    parts = nodes.select((place(F.col("node")) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    parts = reps.select((place(F.col("doc")) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
     bitmap = np.zeros(bits // 8, np.uint8)
     for r in parts:
         own = np.frombuffer(r.bits, np.uint8)
@@ -137,68 +174,83 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            p = batch.column(2).to_numpy()
-            wanted = (held[p >> 3] >> (p & 7) & 1).astype(bool)
-            ids, sets, size = [], [], 0
-            for k, s in _sets(batch, width, wanted):
-                ids.append(batch.column(0)[k].as_py())
-                sets.append(s.view(np.int64))
-                size += len(s)
+            p = batch.column(1).to_numpy()
+            nodes, sets, size = [], [], 0
+            for _, s in _sets(batch, width, (held[p >> 3] >> (p & 7) & 1).astype(bool)):
+                if len(s):
+                    nodes.append(keys(s, salt)[0])
+                    sets.append(s.view(np.int64))
+                    size += len(s)
                 if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
-                    ids, sets, size = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+                    nodes, sets, size = [], [], 0
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+
+    return docs.select("text", place(F.col("doc")).alias("p")).mapInArrow(run, "node long, set array<long>")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Without those of ``pairs`` (a, b) whose sketches rule a link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(100 + percent) * most_shared(x, y) >= percent * n for n, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    rows = docs.where("doc IS NOT NULL").select("doc", "text", place(F.col("doc")).alias("p"))
-    return rows.mapInArrow(run, "node long, set array<long>")
+    left, right = classes.select(F.col("k1").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x")), classes.select(F.col("k1").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", F.expr("n_a + n_b AS n"), "x", "y")
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets link, counted exactly."""
+    pairs = saved(_possible(pairs, classes, percent), "jaccard-possible")
+    reps = pairs.selectExpr("explode(array(a, b)) AS k1").distinct().join(classes.select("k1", "doc"), "k1").select("doc")
+    sets = saved(_sets_of(docs, reps, width, salt), "jaccard-verify")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("o"), (F.size("set_a") + F.size("set_b")).alias("n"))
-    return rows.where(f"{100 + percent} * o >= {percent} * n").select("a", "b").distinct()
+    rows = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", both.alias("o"), (F.size("set_a") + F.size("set_b")).alias("n"))
+    return saved(rows.where(f"{100 + percent} * o >= {percent} * n").select("a", "b").distinct(), "jaccard-links")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    rows = saved(described(docs, width, percent), "jaccard-sets")
-    live = rows.where("n > 0 AND doc IS NOT NULL")
-    classes = saved(live.groupBy("k1", "k2").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard-classes")
-    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "s"))
-    entries = entries.selectExpr("s", "node", "n", "pos", "count(*) OVER (PARTITION BY s) AS held", "first_value(struct(node, n, pos)) OVER (PARTITION BY s ORDER BY xxhash64(node, s), node) AS pivot")
+    salt = 0
+    while True:  # until no two sets share the first key
+        rows = saved(described(docs, width, salt), "jaccard-rows")
+        live = rows.where("n > 0 AND doc IS NOT NULL")
+        classes = saved(live.groupBy("k1").agg(F.min("doc").alias("doc"), (F.min("k2") != F.max("k2")).alias("clash"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-classes")
+        if classes.where("clash").isEmpty():
+            break
+        salt += 1
+    docs = docs.where("doc IS NOT NULL")
+    entries = prefixes(docs, width, percent, salt).select("node", "n", F.posexplode("prefix").alias("pos", "s")).repartition("s").dropDuplicates(["s", "node"])
+    entries = entries.selectExpr("s", "node", "n", "pos", "count(*) OVER (PARTITION BY s) AS held", "first_value(struct(node, n, pos)) OVER (PARTITION BY s ORDER BY xxhash64(node), node) AS pivot")
     lists = saved(entries.where("held > 1"), "jaccard-lists")
     star = lists.alias("x").where(f"x.node <> x.pivot.node AND {_can(percent)}".replace("y.", "x.pivot."))
     first = saved(star.select(F.expr("least(node, pivot.node)").alias("a"), F.expr("greatest(node, pivot.node)").alias("b")).distinct(), "jaccard-pairs")
-    sets = saved(_sets_of(docs, lists.select("node").distinct(), width), "jaccard-candidates")
-    links = saved(_verified(first, sets, percent), "jaccard-links")
-    several = live.select("doc", "k1", "k2").distinct().groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select("doc")
-    own = live.join(several, "doc", "left_semi").join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select(F.col("doc").alias("a"), F.col("node").alias("b"))
-    links = links.union(own)
-    known = saved(components(links), "jaccard-components")
-    # What the pivots left open: entries of one list in different components, block by block.
-    placed = lists.join(known, "node", "left").select("s", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+    links = _verified(first, docs, classes, width, percent, salt)
+    several = live.select("doc", "k1").distinct().groupBy("doc").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.collect_set("k1").alias("all")).where("a < b")
+    own = several.select("a", F.explode("all").alias("b")).where("a < b")
+    known = saved(components(links.union(own)), "jaccard-components")
+    # What the pivots left open: entries of one list (of three or more) in different components, block by block.
+    placed = lists.where("held > 2").drop("pivot", "held").join(known, "node", "left").select("s", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     mixed = placed.selectExpr("*", "min(component) OVER (PARTITION BY s) <> max(component) OVER (PARTITION BY s) AS open").where("open").drop("open")
-    step = math.log(100 / percent)
-    block = F.floor(F.log(F.col("n").cast("double")) / step)
+    block = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))
     blocked = saved(mixed.withColumn("block", block), "jaccard-blocks")
+    # Sets that link are in the same block or in neighbouring ones: y is listed in its own and in the one below.
     right = blocked.withColumn("block", F.explode(F.array("block", F.col("block") - 1)))
-    # x is in its own block; y there too (then counted from one side only) or in the next block up.
     condition = f"x.s = y.s AND x.block = y.block AND x.component <> y.component AND (x.n < y.n OR x.n = y.n AND x.node < y.node) AND {_can(percent)}"
     pairs = blocked.alias("x").join(right.alias("y"), F.expr(condition)).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
     rest = saved(pairs.join(first, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = saved(_verified(rest, sets, percent), "jaccard-links")
-    # Links between components, over the components' smallest nodes.
-    if more.isEmpty():
-        final = known
-    else:
-        names = lambda side: F.coalesce(F.col(f"{side}.component"), F.col(f"m.{side}"))
-        joined = more.alias("m").join(known.alias("a"), F.expr("m.a = a.node"), "left").join(known.alias("b"), F.expr("m.b = b.node"), "left")
-        merged = components(joined.select(names("a").alias("a"), names("b").alias("b"))).toDF("component", "root")
-        both = known.select("node", "component").union(more.selectExpr("explode(array(a, b)) AS node").distinct().join(known, "node", "left_anti").select("node", F.col("node").alias("component")))
-        final = both.join(merged, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-    member = classes.select("k1", "k2", "node").join(final, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    out = rows.alias("r").join(member.alias("c"), F.expr("r.k1 = c.k1 AND r.k2 = c.k2 AND r.n > 0 AND r.doc IS NOT NULL"), "left")
-    return out.select(F.col("r.doc").alias(key), F.col("r.n").alias("n_shingles"), F.coalesce(F.col("c.component"), F.col("r.doc")).alias("component_id"))
+    more = _verified(rest, docs, classes, width, percent, salt)
+    if not more.isEmpty():
+        # The components so far are stars of links; the new links join them.
+        known = saved(components(more.union(known.toDF("a", "b"))), "jaccard-components")
+    named = classes.join(known, F.col("k1") == F.col("node"), "left").select("k1", "doc", F.coalesce("component", "k1").alias("component"))
+    named = saved(named, "jaccard-named")
+    smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    member = named.join(smallest, "component").select("k1", "component_id")
+    out = rows.alias("r").join(member.alias("c"), F.expr("r.k1 = c.k1 AND r.n > 0 AND r.doc IS NOT NULL"), "left")
+    return out.select(F.col("r.doc").alias(key), F.col("r.n").alias("n_shingles"), F.coalesce(F.col("c.component_id"), F.col("r.doc")).alias("component_id"))
