@@ -144,6 +144,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     spark = vectors.sparkSession
     rows = valid(vectors, key, vector)
     total = rows.count()
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     every = max(1, total // SAMPLE)
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * SAMPLE).collect()
     drawn.sort(key=lambda r: (r.vec_id, r.vector))

@@ -1,0 +1,24 @@
+"""The pipeline's stages on the smallest tables."""
+
+import re
+
+import corpus_pipeline as p
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns
+        kept = {r.doc_id: r.text for r in out.collect()}
+        if name == "near_duplicates":
+            assert len(set(kept.values())) == len(kept)
+        if name == "secrets":
+            assert not any(re.search(r"[0-9a-f]{16}|AKIA[A-Z0-9]{14}", t) for t in kept.values())
+        else:
+            assert all(texts[i] == t for i, t in kept.items())
+    rows = p.run(spark, DIR).collect()
+    assert rows and all(r.taken == r.copies * r.size for r in rows)
