@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import saved
 
@@ -87,7 +88,8 @@ class Tree:
 
 def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(vec_id, vector) of the rows that take part."""
-    v = F.col(vector).cast("array<double>")
+    single = rows.schema[vector].dataType == T.ArrayType(T.FloatType())  # floats travel as floats; all sums are in double precision
+    v = F.col(vector) if single else F.col(vector).cast("array<double>")
     rows = rows.select(F.col(key).cast("long").alias("vec_id"), v.alias("vector")).where("vec_id IS NOT NULL AND vector IS NOT NULL")
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(fine)
@@ -96,7 +98,7 @@ def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -156,14 +158,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.leaf_of(_matrix(batch.column(1))))], names=["vec_id", "vector", "leaf"])
 
-    kind = "vec_id long, vector array<double>, leaf long"
+    kind = T.StructType([*rows.schema.fields, T.StructField("leaf", T.LongType())])
     indexed = saved(rows.mapInArrow(place, kind), "knn-index")
     most = _calibrated(indexed, tree, drawn[:: max(1, len(drawn) // CALIBRATION)][:CALIBRATION], k, target)
     asked = valid(queries, key, vector).mapInArrow(place, kind)
     # Blocks: by size of the leaf, so that none holds more than a bounded number of rows.
     part = lambda df, n: df.join(df.groupBy("leaf").agg(F.ceil(F.count("*") / n).alias("parts")), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
     blocks = part(indexed, VECTOR_BLOCK).groupBy("leaf", "part").agg(F.collect_list(F.struct("vec_id", "vector")).alias("rows"))
-    asked = part(asked.withColumn("leaf", F.col("leaf")), QUERY_BLOCK).groupBy("leaf", "part").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
+    # Leaves with near numbers are near in the tree; so many of them together ask as many queries as a block holds.
+    together = max(1, -(-tree.leaves * QUERY_BLOCK // max(1, asked.count())))
+    asked = part(asked.withColumn("leaf", F.floor(F.col("leaf") / together)), 2 * QUERY_BLOCK).groupBy("leaf", "part").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each block of queries the leaves that any of them visits; which ones do is told again where they meet."""
