@@ -7,10 +7,11 @@ common they are, so that passages which many documents share come last. Two sets
 share a shingle of their prefixes, so the lists miss nothing.
 
 Set relations are used three times. Equal sets are one entry. Each list's entries are first
-compared with the list's pivot only, and the answers of a set that is linked are derived
+compared with the list's pivot only (the entry with the fewest rarer shingles), and the answers of a set that is linked are derived
 for all that its component holds: pairs within a component are never compared again. What
 is left in a list is cut into blocks by size class and position, blocks that can't reach
-the threshold are skipped whole, and only pairs across components are verified, exactly.
+the threshold are skipped whole, a pair is left out of lists where both sets have the same
+shingle before (an earlier list has it), and only pairs across components are verified, exactly.
 
 Shingles are 64-bit hashes (see ``tokens``). The order of shingles comes from counts over
 all documents; it decides the work, never the result.
@@ -129,7 +130,7 @@ def described(docs: DataFrame, width: int, salt: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
-    """For each document its set's key, the set's size, and its prefix in the shared order."""
+    """For each document its set's key, the set's size, and its prefix in the shared order, each shingle with the one before it."""
     order = common(docs, width)
     shared = docs.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order, kind="stable")))
 
@@ -149,9 +150,11 @@ def prefixes(docs: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
                 kept.append(s[: prefix_length(len(s), percent)].view(np.int64))
             if node:
                 edges = np.concatenate([[0], np.cumsum([len(p) for p in kept])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(kept)))], names=["node", "n", "prefix"])
+                s = np.concatenate(kept)
+                pair = pa.StructArray.from_arrays([pa.array(s), pa.array(np.concatenate([s[:1], s[:-1]]))], names=["s", "prev"])
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pair)], names=["node", "n", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "node long, n int, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "node long, n int, prefix array<struct<s:long,prev:long>>")
 
 
 def _can(percent: int) -> str:
@@ -225,8 +228,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             break
         salt += 1
     docs = docs.where("doc IS NOT NULL")
-    entries = prefixes(docs, width, percent, salt).select("node", "n", F.posexplode("prefix").alias("pos", "s")).repartition("s").dropDuplicates(["s", "node"])
-    entries = entries.selectExpr("s", "node", "n", "pos", "count(*) OVER (PARTITION BY s) AS held", "first_value(struct(node, n, pos)) OVER (PARTITION BY s ORDER BY xxhash64(node), node) AS pivot")
+    entries = prefixes(docs, width, percent, salt).select("node", "n", F.posexplode("prefix").alias("pos", "at")).select("node", "n", "pos", "at.s", "at.prev").repartition("s").dropDuplicates(["s", "node"])
+    # The pivot is the entry with the fewest rarer shingles before it: of near copies, the least edited.
+    entries = entries.selectExpr("s", "prev", "node", "n", "pos", "count(*) OVER (PARTITION BY s) AS held", "first_value(struct(node, n, pos)) OVER (PARTITION BY s ORDER BY pos, xxhash64(node), node) AS pivot")
     lists = saved(entries.where("held > 1"), "jaccard-lists")
     star = lists.alias("x").where(f"x.node <> x.pivot.node AND {_can(percent)}".replace("y.", "x.pivot."))
     first = saved(star.select(F.expr("least(node, pivot.node)").alias("a"), F.expr("greatest(node, pivot.node)").alias("b")).distinct(), "jaccard-pairs")
@@ -235,13 +239,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     own = several.select("a", F.explode("all").alias("b")).where("a < b")
     known = saved(components(links.union(own)), "jaccard-components")
     # What the pivots left open: entries of one list (of three or more) in different components, block by block.
-    placed = lists.where("held > 2").drop("pivot", "held").join(known, "node", "left").select("s", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+    placed = lists.where("held > 2").drop("pivot", "held").join(known, "node", "left").select("s", "prev", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     mixed = placed.selectExpr("*", "min(component) OVER (PARTITION BY s) <> max(component) OVER (PARTITION BY s) AS open").where("open").drop("open")
     block = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))
     blocked = saved(mixed.withColumn("block", block), "jaccard-blocks")
     # Sets that link are in the same block or in neighbouring ones: y is listed in its own and in the one below.
     right = blocked.withColumn("block", F.explode(F.array("block", F.col("block") - 1)))
-    condition = f"x.s = y.s AND x.block = y.block AND x.component <> y.component AND (x.n < y.n OR x.n = y.n AND x.node < y.node) AND {_can(percent)}"
+    # A pair belongs to the list of the first shingle its prefixes share: not to one where both have the same shingle before.
+    condition = f"x.s = y.s AND x.block = y.block AND x.component <> y.component AND (x.pos = 0 OR y.pos = 0 OR x.prev <> y.prev) AND (x.n < y.n OR x.n = y.n AND x.node < y.node) AND {_can(percent)}"
     pairs = blocked.alias("x").join(right.alias("y"), F.expr(condition)).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
     rest = saved(pairs.join(first, ["a", "b"], "left_anti"), "jaccard-rest")
     more = _verified(rest, docs, classes, width, percent, salt)
