@@ -1 +1,5 @@
+"""Registered queries: ``registry`` holds the tables, ``more`` adds to them."""
 
+from . import more, registry
+
+__all__ = ["more", "registry"]
