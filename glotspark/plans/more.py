@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import audit as A
 from ..operators import graph as G
 from ..operators import sequences as Q
 from ..operators import stats as S
@@ -94,3 +95,19 @@ def hourly_windows(spark, sf_dir):
 def user_sessions(spark, sf_dir):
     out = W.sessions(read(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours")
     return out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+_GLOSSARY = "SELECT * FROM (VALUES ('en', 'and', 'the'), ('en', 'that', 'with'), ('fr', 'et', 'les'), ('de', 'und', 'die'), ('es', 'de', 'los'), ('es', 'y', '')) AS g(lang, term, expected)"
+_IN = "regexp_matches(lower(d.text), '(^|[^\\p{{L}}\\p{{N}}_])' || g.{} || '([^\\p{{L}}\\p{{N}}_]|$)')"
+
+
+@query(f"SELECT lang, count(*) AS applicable, count(*) FILTER (WHERE ok) AS adherent, avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate FROM (SELECT d.lang, {_IN.format('expected')} AS ok FROM documents d JOIN ({_GLOSSARY}) g ON d.lang = g.lang WHERE g.expected <> '' AND {_IN.format('term')}) GROUP BY lang")
+def glossary_adherence(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("source"), F.col("text").alias("target"))
+    return A.adherence(docs, spark.sql(_GLOSSARY))[0]
+
+
+@query("WITH p AS (SELECT p_partkey, p_name, CASE WHEN p_size % 9 = 0 THEN p_name || ' {x}' WHEN p_size % 9 = 1 THEN ' ' || p_name WHEN p_size % 9 = 2 THEN '' ELSE p_name END AS en FROM part), f AS (SELECT 'placeholder_mismatch' AS kind, count(*) AS n FROM p WHERE en LIKE '%{x}' UNION ALL SELECT 'whitespace', count(*) FROM p WHERE en LIKE ' %' UNION ALL SELECT 'duplicate_key', (SELECT count(*) - count(DISTINCT p_name) FROM p)) SELECT kind, n FROM f WHERE n > 0")
+def audit_findings(spark, sf_dir):
+    part = read(spark, sf_dir, "part").selectExpr("p_partkey AS row", "p_name AS ko", "CASE WHEN p_size % 9 = 0 THEN p_name || ' {x}' WHEN p_size % 9 = 1 THEN ' ' || p_name WHEN p_size % 9 = 2 THEN '' ELSE p_name END AS en")
+    return A.findings(part.withColumn("key", F.col("ko")), "row", "key", ["ko", "en"], "ko").groupBy("kind").agg(F.count("*").alias("n"))
