@@ -4,7 +4,7 @@ The text view is a logistic regression over hashed words (each counted once); th
 view one over source, language, and the page's measures (lengths, lines, shares of digits,
 capitals, marks, repeated words). Over ROUNDS, each view labels the pool's documents that it
 is surest of, as many of each class as that class's share allows, and hands them to the
-other view's training set. Each view is then calibrated (Platt scaling) on labelled
+other view's training set, on which that view's training goes on. Each view is then calibrated (Platt scaling) on labelled
 documents that neither was trained on, and a logistic regression over the two calibrated
 views gives the score of every document.
 
@@ -31,6 +31,8 @@ from pyspark.sql import types as T
 from . import tokens
 
 LABELLED, POOL, ROUNDS = 6000, 6000, 5
+#: Steps of training on the labelled documents, and on the larger set of each later round.
+FIRST_STEPS, STEPS = 100, 40
 WORDS, SOURCES = 1 << 18, 256
 #: Words in fewer documents of the sample than this have no weight: they are too rare to tell anything.
 RAREST = 5
@@ -84,10 +86,17 @@ class Sparse:
     def back(self, g: np.ndarray) -> np.ndarray:
         return np.bincount(self.at, weights=(g * self.value)[self.row], minlength=self.size)
 
+    def part(self, chosen: np.ndarray) -> tuple[Sparse, np.ndarray]:
+        """The chosen rows over the positions that they have, and those positions."""
+        own = np.flatnonzero(chosen)
+        used, at = np.unique(self.at[np.repeat(chosen, np.diff(self.edge))], return_inverse=True)
+        edge = np.concatenate([[0], np.cumsum(np.diff(self.edge)[own])])
+        return Sparse([at[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], len(used)), used
+
 
 class Dense:
     def __init__(self, x: np.ndarray):
-        self.x, self.size = x, x.shape[1]
+        self.n, self.x, self.size = len(x), x, x.shape[1]
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return self.x @ w
@@ -95,10 +104,13 @@ class Dense:
     def back(self, g: np.ndarray) -> np.ndarray:
         return g @ self.x
 
+    def part(self, chosen: np.ndarray) -> tuple[Dense, np.ndarray]:
+        return Dense(self.x[chosen]), np.arange(self.size)
+
 
-def logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, steps: int = 100, rate: float = 0.5, keep: float = 1e-5) -> np.ndarray:
-    """Weights and, last, the intercept; full gradients with Adagrad."""
-    w, bias = np.zeros(x.size), 0.0
+def logistic(x: Sparse | Dense, y: np.ndarray, weight: np.ndarray, steps: int = 100, rate: float = 0.5, keep: float = 1e-5, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights and, last, the intercept; full gradients with Adagrad, from ``start`` on."""
+    w, bias = (np.zeros(x.size), 0.0) if start is None else (start[:-1].copy(), float(start[-1]))
     sum_w, sum_b = np.full(x.size, 1e-8), 1e-8
     weight = weight / weight.sum()
     for _ in range(steps):
@@ -125,10 +137,12 @@ class Model:
         x = [Sparse([a[times[a] >= RAREST] for a, _ in rows], WORDS), Dense(np.stack([b for _, b in rows]).astype(float))]
         own = [np.where(known & (fold != 2), label, -1) for _ in x]
         pool = ~known
-        self.w = [np.zeros(0)] * 2
+        self.w = [np.zeros(x[0].size + 1), np.zeros(x[1].size + 1)]
         for turn in range(rounds + 1):
             for v in range(2):
-                self.w[v] = logistic(x[v], np.maximum(own[v], 0), (own[v] >= 0).astype(float))
+                part, used = x[v].part(own[v] >= 0)
+                used = np.append(used, x[v].size)
+                self.w[v][used] = logistic(part, own[v][own[v] >= 0], np.ones(part.n), steps=STEPS if turn else FIRST_STEPS, start=self.w[v][used])
             if turn == rounds or not pool.any():
                 break
             new = [o.copy() for o in own]
@@ -162,45 +176,48 @@ class Model:
         return _sigmoid(np.vstack([logits, self.combined[:-1] @ logits + self.combined[-1]]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str, labelled: int = LABELLED, pool: int = POOL) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, targets: list[str], labelled: int = LABELLED, pool: int = POOL) -> list[Model]:
+    """A model for each of the columns ``targets`` of ``labels``, all from one sample. A null label is none."""
     rows = docs.select("doc_id", F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string")).where("doc_id IS NOT NULL")
-    marks = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
+    marks = labels.where(F.col("doc_id").isNotNull() & F.coalesce(*targets).isNotNull()).groupBy("doc_id").agg(*(F.max(t).cast("int").alias(f"label_{k}") for k, t in enumerate(targets)))
     few = max(1, marks.count() // labelled)
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(few)) == 0)
     every = max(1, rows.count() // pool)
     marked = rows.join(marks, "doc_id")
-    unmarked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0).join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
+    unmarked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(every)) == 0).join(labels.select("doc_id"), "doc_id", "left_anti")
     fold = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3)).cast("int")
+    given = [f"label_{k}" for k in range(len(targets))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = list(views(*batch.columns[1:4]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), pa.array([a.astype(np.int32).tobytes() for a, _ in made], pa.binary()), pa.array([b.tobytes() for _, b in made], pa.binary())], names=["doc_id", "label", "fold", "words", "meta"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[4:], pa.array([a.astype(np.int32).tobytes() for a, _ in made], pa.binary()), pa.array([b.tobytes() for _, b in made], pa.binary())], names=["doc_id", *given, "fold", "words", "meta"])
 
-    drawn = marked.union(unmarked.select(marked.columns)).withColumn("fold", fold)
-    got = drawn.mapInArrow(run, "doc_id long, label int, fold int, words binary, meta binary").toPandas().sort_values(["doc_id", "words"])
+    drawn = marked.unionByName(unmarked, allowMissingColumns=True).fillna(-1, given).withColumn("fold", fold)
+    schema = f"doc_id long, {', '.join(f'{g} int' for g in given)}, fold int, words binary, meta binary"
+    got = drawn.mapInArrow(run, schema).toArrow().to_pandas().sort_values(["doc_id", "words", "meta"])
     pairs = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.float32)) for a, b in zip(got["words"], got["meta"], strict=True)]
-    return Model(pairs, got["label"].to_numpy(), got["fold"].to_numpy())
+    return [Model(pairs, got[g].to_numpy(), got["fold"].to_numpy()) for g in given]
 
 
-def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
-    """``docs`` with text_score, meta_score and score, each after ``prefix``."""
-    names = [f"{prefix}{n}" for n in ("text_score", "meta_score", "score")]
+def predict(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """``docs`` with text_score, meta_score and score by each model, each name after the model's key."""
+    names = [f"{prefix}{n}" for prefix in models for n in ("text_score", "meta_score", "score")]
     kept = docs.drop(*names)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(list(models.values()))
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = lambda rows: np.concatenate([m.scores(rows) for m in shared.value])
         for batch in batches:
             column = lambda n, b=batch: b.column(b.schema.get_field_index(n))
-            out, held, size = [], [], 0
+            out, held = [], []
             for row in views(column("text"), column("source"), column("lang")):
                 held.append(row)
-                size += 1
-                if size == 2000:
-                    out.append(shared.value.scores(held))
-                    held, size = [], 0
-            out.append(shared.value.scores(held))
+                if len(held) == 2000:
+                    out.append(scores(held))
+                    held = []
+            out.append(scores(held))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in np.concatenate(out, axis=1))], names=[*batch.schema.names, *names])
 
     return kept.mapInArrow(run, schema)

@@ -26,8 +26,8 @@ def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels")
-    scored = cotrain.predict(docs, cotrain.fit(docs, labels, "quality"))
-    scored = cotrain.predict(scored, cotrain.fit(docs, labels, "toxic"), prefix="toxic_")
+    quality, toxic = cotrain.fit(docs, labels, ["quality", "toxic"])
+    scored = cotrain.predict(docs, {"": quality, "toxic_": toxic})
     keep = (F.col("score") >= 0.5) & (F.col("toxic_score") < 0.5)
     return scored.select("doc_id", "text_score", "meta_score", "score", "toxic_score", keep.alias("keep"))
 

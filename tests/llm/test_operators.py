@@ -124,10 +124,10 @@ def test_quality(spark):
     rows += [(900, None, None, None), (901, "", "s", "en"), (None, "good good", "s", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(0, 200)] + [(None, 1), (5, 1)], "doc_id long, quality int")
-    got = cotrain.predict(docs.withColumn("score", F.lit("clash")), cotrain.fit(docs, labels, "quality")).collect()
+    got = cotrain.predict(docs.withColumn("score", F.lit("clash")), {"": cotrain.fit(docs, labels, ["quality"])[0]}).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     assert np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got if r.doc_id is not None and 200 <= r.doc_id < 300]) > 0.95
-    assert {r.score for r in cotrain.predict(docs, cotrain.fit(docs, labels.limit(0), "quality")).collect()} == {0.5}
+    assert {r.score for r in cotrain.predict(docs, {"": cotrain.fit(docs, labels.limit(0), ["quality"])[0]}).collect()} == {0.5}
 
 
 def test_chat(spark):
