@@ -78,12 +78,24 @@ def expand(spark, slots: dict[str, Sequence[str]], constraint: str = "true") ->
 
 
 def fill_templates(templates: DataFrame, values: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """Examples (intent, lang, template, text) of templates with one ``{slot}`` or none, at most ``most`` for each template.
+    """Examples (intent, lang, template, text, spans) of templates with any number of ``{slot}``, at most ``most`` for each template.
 
-    Values (slot, lang, value) are joined by slot and language; templates without values are left out.
+    Every combination of the slots' values (slot, lang, value) in the template's language; a slot named twice has one
+    value. Templates without values for a slot are left out. spans has (slot, start, end) of each value in the text,
+    in code points, known from the template's pieces.
     """
-    named = templates.withColumn("slot", F.regexp_extract("template", r"\{(\w+)\}", 1))
-    plain = named.where("slot = ''").select("intent", "lang", "template", F.col("template").alias("text"))
-    full = named.where("slot <> ''").join(values, ["slot", "lang"]).select("intent", "lang", "template", F.replace("template", F.concat(F.lit("{"), "slot", F.lit("}")), F.col("value")).alias("text"))
+    found = templates.withColumn("__names", F.regexp_extract_all("template", F.lit(r"\{(\w+)\}"), F.lit(1))).withColumn("__slots", F.array_distinct("__names"))
+    full = found.withColumn("__values", F.array().cast("array<string>"))
+    deepest = found.agg(F.max(F.size("__slots"))).first()[0] or 0
+    for k in range(deepest):
+        has = F.size("__slots") > k
+        given = values.select(F.col("slot").alias("__slot"), F.col("lang").alias("__lang"), F.col("value").alias("__value"))
+        more = full.where(has).join(given, (F.get("__slots", F.lit(k)) == F.col("__slot")) & (F.col("lang") == F.col("__lang")))
+        full = full.where(~has).unionByName(more.withColumn("__values", F.array_append("__values", F.col("__value"))).select(full.columns))
+    parts = "transform(__names, (n, i) -> struct(n AS slot, __values[CAST(array_position(__slots, n) - 1 AS INT)] AS value, __pieces[i + 1] AS after))"
+    start = "struct(__pieces[0] AS text, CAST(array() AS array<struct<slot:string,start:int,end:int>>) AS spans)"
+    grown = "struct(a.text || p.value || p.after AS text, array_append(a.spans, struct(p.slot AS slot, char_length(a.text) AS start, char_length(a.text) + char_length(p.value) AS end)) AS spans)"
+    built = full.withColumn("__pieces", F.split("template", r"\{\w+\}", -1)).withColumn("__made", F.expr(f"aggregate({parts}, {start}, (a, p) -> {grown})"))
+    out = built.select("intent", "lang", "template", F.col("__made.text").alias("text"), F.col("__made.spans").alias("spans"))
     w = Window.partitionBy("intent", "lang", "template").orderBy(F.xxhash64("text", F.lit(seed)), "text")
-    return plain.union(full).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")

@@ -1,5 +1,5 @@
 """Registered queries: ``registry`` holds the tables, ``more`` adds to them."""
 
-from . import more, registry
+from . import extra, more, registry
 
-__all__ = ["more", "registry"]
+__all__ = ["extra", "more", "registry"]
