@@ -107,11 +107,11 @@ def exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def best(score: np.ndarray, v: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Exact scores and ids of one query's k best in a block; ``floor``: what it takes to matter."""
-    if len(score) > k + 1:
-        floor = max(floor, np.partition(score, -k - 1)[-k - 1])
-    at = np.flatnonzero(score >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else np.ones(len(score), bool))
-    at = at[ids[at] != own]
+    """Exact scores and ids of one query's k best in a block, its own rows masked first; ``floor``: what it takes to matter."""
+    score = np.where(ids == own, -np.inf, score)
+    if len(score) > k:
+        floor = max(floor, np.partition(score, -k)[-k])
+    at = np.flatnonzero(score >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else ids != own)
     s = exact(v[at], q)
     order = np.lexsort((ids[at], -s))[:k]
     return s[order], ids[at][order]

@@ -229,6 +229,20 @@ def test_neighbours(spark):
     assert knn.search(df.limit(0), df.limit(0)).isEmpty()
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    v, ids = rng.normal(size=(500, 8)).round(3), np.arange(500)
+    ids[:6], ids[6:36] = 0, 1  # the first id fits into k = 20, the second is there more often
+    v[1:6], v[6:36] = 1.5 * v[0], 2 * v[6]
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    want = collections.Counter()
+    for i, q in zip(ids[:40], v, strict=False):
+        s = knn.exact(v, q)
+        want.update((i, rank, ids[n], s[n]) for rank, n in enumerate([n for n in np.lexsort((ids, -s)) if ids[n] != i][:20], 1))
+    got = knn.search(df, df.where("vec_id < 40 AND vec_id NOT BETWEEN 2 AND 35")).collect()
+    assert collections.Counter(map(tuple, got)) == want and len(got) == 800
+
+
 @pytest.mark.parametrize("block", [4_000_000, 150])
 def test_decontamination(spark, docs, block):
     bench = spark.createDataFrame([("a", PLAIN), ("b", "One, TWO three!"), ("c", None), ("d", ""), (None, "der Hund und"), ("e", " ".join(LONG.split()[50:75])), ("a2", PLAIN)], "item_id string, text string")
