@@ -12,6 +12,9 @@ Decoding is exact Viterbi over whole texts. A token whose score for outside is a
 more than transitions could ever repay is outside in every best path; such tokens cut the
 text into the short runs that are decoded. Nothing shuffles.
 
+A span of the model that the patterns' matches cover is left out; one that reaches beyond them
+is a span of its own, and the matches stay beside it.
+
 Defined results: null text is empty; a text without tokens has no spans; ties go to
 outside, then begin; equal rows give equal results; a table without training windows adds
 no spans; input columns named like the outputs are replaced.
@@ -69,6 +72,14 @@ def base_spans(text: str, lower: bytes, hexes: list[tuple[int, int]]) -> tuple[l
     return sorted(found), inner
 
 
+def covered(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether the sorted spans ``base`` leave nothing of a span."""
+    for p, _, q in base:
+        if p <= start < q:
+            start = q
+    return start >= end
+
+
 def _classes() -> np.ndarray:
     """Counted properties of bytes: lower, upper, digit, sign, non-ASCII, hex letter, vowel."""
     c = np.zeros((7, 256), np.int32)
@@ -318,7 +329,7 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "tex
                             else:
                                 joined.append([x, y, token])
                         base = list(found)
-                        found += [(x, 3, y) for x, y, _ in joined if y - x >= SHORTEST and not any(p < y and x < q for p, _, q in base)]
+                        found += [(x, 3, y) for x, y, _ in joined if y - x >= SHORTEST and not covered(x, y, base)]
                     out.append([{"kind": KINDS[c], "start": x, "end": y} for x, c, y in sorted(found)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, spans])
 

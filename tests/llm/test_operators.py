@@ -199,6 +199,19 @@ def test_secrets(spark, docs):
     assert all(not r.secret_spans for r in crf.scan(docs.where("doc_id = 1"), crf.fit(docs.limit(0))).collect())
 
 
+def test_secrets_longer_than_a_pattern(spark):
+    w = np.zeros((3, crf.TABLE), np.float32)
+    w[crf.B] = 1  # every token is a span of the model
+    key = "Zk9_0123456789abcdef0123-QwErTy"
+    texts = [f"é {key} end", f"é token={key} end", "é 0123456789abcdef0123 end", f"é {key} {key}", "é plain-word-of-many end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = crf.scan(df, (w, np.zeros((3, 3)))).select("doc_id", "secret_spans", crf.redacted(F.col("text"), F.col("secret_spans")).alias("t")).orderBy("doc_id").collect()
+    spans = [[tuple(s) for s in r.secret_spans] for r in found]
+    assert spans[0] == [("crf", 2, 33), ("hex", 6, 26)] and spans[1] == [("assign", 2, 39), ("hex", 12, 32)]
+    assert spans[2] == [("hex", 2, 22)] and spans[3] == [("crf", 2, 33), ("hex", 6, 26), ("crf", 34, 65), ("hex", 38, 58)]
+    assert [r.t for r in found] == ["é [SECRET] end", "é [SECRET] end", "é [SECRET] end", "é [SECRET] [SECRET]", "é [SECRET] end"]
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(2)
     for _ in range(50):
