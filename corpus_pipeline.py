@@ -5,7 +5,7 @@ Every stage takes (spark, docs, sf_dir). All but the last keep the columns of ``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glotspark.llm import crf, fmindex, jaccard, langid, mixing
@@ -22,10 +22,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, similarity 0.8). Documents without words or id stay."""
+    """The document with the smallest id of each group of near copies (five words, similarity 0.8).
+
+    Rows that share an id are one document, which stays or goes whole. A document without words is no near copy,
+    nor is a row without an id. Of rows with the same id and text one stays, the first by the other columns; so it
+    does of rows without an id that have the same text (they are compared with one another only).
+    """
     groups = jaccard.join(docs.select("doc_id", "text"), width=5, percent=80)
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    marked = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("component_id") < F.col("doc_id")).alias("gone"), F.count("*").alias("n"))
+    marked = saved(marked.where("gone OR n > 1"), "pipeline-marked")
+    named = docs.where("doc_id IS NOT NULL")
+    # Only rows whose id repeats or is null are sorted by their texts.
+    several = named.join(marked.where("NOT gone").select("doc_id"), "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id IS NULL"))
+    same = Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(1)])
+    one = several.withColumn("__n", F.row_number().over(same)).where("__n = 1")
+    return named.join(marked.select("doc_id"), "doc_id", "left_anti").select(docs.columns).union(one.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,3 +22,13 @@ def test_stages(spark):
             assert all(texts[i] == t for i, t in kept.items())
     rows = p.run(spark, DIR).collect()
     assert rows and all(r.taken == r.copies * r.size for r in rows)
+
+
+def test_copies_that_share_an_id_or_have_none(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, None), (1, "another text under the id that is in use", "a"), (2, text, "a"), (2, "goes with its document", "a"), (3, "", "a"), (3, "", "a"), (4, None, "a"), (5, "", "a"),
+            (None, text, "a"), (None, text, "b"), (None, text + " eleven", "a"), (None, None, "a"), (None, None, "a"), (6, "alone in all of this", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(p.near_duplicates(spark, docs, DIR).collect(), key=repr)
+    want = [(1, text, None), (1, rows[3][1], "a"), (3, "", "a"), (4, None, "a"), (5, "", "a"), (None, text, "a"), (None, text + " eleven", "a"), (None, None, "a"), (6, "alone in all of this", "a")]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
