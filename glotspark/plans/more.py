@@ -81,8 +81,9 @@ def constrained_slots(spark, sf_dir):
 
 @query()
 def rising_values(spark, sf_dir):
-    ordered = read(spark, sf_dir, "events").groupBy("user_id", F.expr("date_trunc('DAY', ts)").alias("day")).agg(F.expr("transform(array_sort(collect_list(struct(ts, event_id, value))), x -> x.value)").alias("vals"))
-    return ordered.select("user_id", "day", F.size(Q.lis(F.col("vals"))).cast("long").alias("longest"))
+    """Length of the longest run of rising values in each user's whole sequence, by time and event."""
+    ordered = read(spark, sf_dir, "events").groupBy("user_id").agg(F.expr("transform(array_sort(collect_list(struct(ts, event_id, value))), x -> x.value)").alias("vals"))
+    return ordered.select("user_id", F.size(Q.lis(F.col("vals"))).cast("long").alias("longest"))
 
 
 @query("SELECT event_type, CAST(time_bucket(INTERVAL '1 hour', ts) AS VARCHAR) AS start, count(*) AS n, avg(value) AS mean FROM events GROUP BY ALL")

@@ -1,5 +1,6 @@
 """Sources, sinks, sequences and statistics on small fixtures."""
 
+import collections
 import itertools
 import random
 
@@ -8,6 +9,7 @@ import pytest
 from glotspark.operators import graph as G
 from glotspark.operators import sequences as Q
 from glotspark.operators import stats as S
+from glotspark.plans.registry import QUERIES
 from glotspark.sources import readers, sinks
 from glotspark.streaming import windows as W
 
@@ -30,6 +32,21 @@ def test_sequences():
     assert Q.fewest_pieces([50, 30], 20) is None and Q.fewest_pieces([5], 0) == []
 
 
+def test_rising_values(spark):
+    held = collections.defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect():
+        held[r.user_id].append((r.ts, r.event_id, r.value))
+    want = {}
+    for user, rows in held.items():
+        ends = []  # of each event the longest run that ends there
+        for k, (*_, v) in enumerate(rows := sorted(rows)):
+            ends.append(1 + max((n for n, (*_, u) in zip(ends, rows[:k], strict=True) if u < v), default=0))
+        want[user] = max(ends)
+    got = QUERIES["rising_values"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(want) and {r.user_id: r.longest for r in got} == want
+    assert any((rows[-1][0] - rows[0][0]).days for rows in held.values()) and max(want.values()) > 5
+
+
 def test_segments(spark):
     texts = spark.createDataFrame([(1, "Cooldown loot!"), (2, None), (3, "")], "id long, text string")
     got = {r.id: r.tokens for r in Q.segments(texts, ["cool", "cooldown", "loot"]).collect()}
