@@ -1,8 +1,13 @@
 """The pipeline's stages on the smallest tables."""
 
+import collections
+import math
 import re
 
+import duckdb
+
 import corpus_pipeline as p
+from glotspark.llm import crf, langid, mixing
 
 DIR = "/root/testdata/sf0.001"
 
@@ -32,3 +37,88 @@ def test_copies_that_share_an_id_or_have_none(spark):
     got = sorted(p.near_duplicates(spark, docs, DIR).collect(), key=repr)
     want = [(1, text, None), (1, rows[3][1], "a"), (3, "", "a"), (4, None, "a"), (5, "", "a"), (None, text, "a"), (None, text + " eleven", "a"), (None, None, "a"), (6, "alone in all of this", "a")]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+LOWER = {i: i + 32 for i in range(65, 91)}
+WORD, ALNUM = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def language(rows):
+    """Naive Bayes over letters with their neighbours, not hashed."""
+
+    def letters(text):
+        c = [" ", *(x.lower() if x.isalpha() and len(x.lower()) == 1 else x if x.isalpha() else " " for x in text or ""), " "]
+        return [f for a, b, d in zip(c, c[1:], c[2:], strict=False) if b != " " for f in (b, a + b, a + b + d)]
+
+    seen, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    held = {r.doc_id: letters(r.text) for r in rows}
+    for r in rows:
+        if r.text is not None and r.lang is not None:
+            seen[r.lang].update(held[r.doc_id])
+            docs[r.lang] += 1
+    total = {k: sum(c.values()) + langid.FEATURES / 2 for k, c in seen.items()}
+    kept = set()
+    for i, found in held.items():
+        sums = {k: sum(n * math.log((c[f] + 0.5) / total[k]) for f, n in collections.Counter(found).items()) for k, c in seen.items()}
+        prior = {k: math.log(docs[k] / sum(docs.values())) for k in seen}
+        top = max(seen, key=lambda k: sums[k] + prior[k])
+        x = {k: sums[k] * min(1, langid.EVIDENCE / max(1, len(found))) + prior[k] for k in seen}
+        if found and 1 / sum(math.exp(min(700, v - x[top])) for v in x.values()) >= p.SURE:
+            kept.add(i)
+    return kept
+
+
+def near_duplicates(rows):
+    sets = {}
+    for r in rows:
+        w = WORD.findall((r.text or "").translate(LOWER))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, s in sets.items():
+        for b, t in sets.items():
+            if a < b and s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i for i in sets if find(i) == i}
+
+
+def decontamination(rows, bench):
+    words = lambda t: ALNUM.findall((t or "").translate(LOWER))
+    windows = {tuple(w[k : k + 10]) for w in map(words, bench) if w for k in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(x) for x in windows}
+    return {r.doc_id for r in rows if not any(tuple(w[k : k + n]) in windows for w in [words(r.text)] for n in sizes for k in range(len(w) - n + 1))}
+
+
+def redacted(text):
+    spans = [m.span() for m in crf.ASSIGN.finditer(text) if len(m[2]) >= 12] + [m.span() for m in re.finditer("AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", text)]
+    out, at = "", 0
+    for a, b in sorted(spans):
+        out += "" if a < at else text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    odd = spark.createDataFrame([(10**6, "123 --- 456", "en", "web", 11), (10**6 + 1, None, "en", "web", None), (10**6 + 2, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(odd.select(*(odd[f.name].cast(f.dataType) for f in docs.schema))).cache()
+    rows = docs.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    bench = [r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    want = {"language": language(rows), "near_duplicates": near_duplicates(rows), "decontamination": decontamination(rows, bench)}
+    stages = dict(p.STAGES)
+    for name, kept in want.items():
+        assert 0 < len(kept) < len(rows)
+        assert sorted(r.doc_id for r in stages[name](spark, docs, DIR).collect()) == sorted(kept), name
+    clean = {r.doc_id: r.text for r in stages["secrets"](spark, docs, DIR).collect()}
+    assert clean == {r.doc_id: None if r.text is None else redacted(r.text) for r in rows} and any(r.text != clean[r.doc_id] for r in rows)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    plan = lambda x: sorted((r[0], r[1], r[2], round(r[3], 6), r[4], r[5]) for r in x)
+    assert plan(stages["mixture"](spark, docs, DIR).collect()) == plan(con.execute(mixing.SQL).fetchall())
