@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import mostly_cjk
+
 # The encodings tried, in this order.
 WRONG = ["latin-1", "cp1252", "cp949", "utf-8"]
 WRONG_WIDE = ["latin-1", "cp1252", "cp949", "utf-8", "shift_jis"]
@@ -47,7 +49,6 @@ def traced(c: Column, every: bool = False) -> Column:
     """``repairs`` over the wider list, longest text first, then by encodings; only those mostly of CJK letters unless ``every``."""
     found = repairs(c, WRONG_WIDE)
     if not every:
-        cjk = lambda t: F.length(F.regexp_replace(t, r"[^가-힣぀-ヿ㐀-鿿]", ""))
-        found = F.filter(found, lambda x: cjk(x["text"]) >= F.greatest(F.lit(1), F.floor(F.length(x["text"]) / 2)))
+        found = F.filter(found, lambda x: mostly_cjk(x["text"]))
     ranked = F.array_sort(F.transform(found, lambda x: F.struct((-F.length(x["text"])).alias("n"), x["wrong"].alias("wrong"), x["true"].alias("true"), x["text"].alias("text"))))
     return F.transform(ranked, lambda x: F.struct(x["wrong"].alias("wrong"), x["true"].alias("true"), x["text"].alias("text")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql.types import BooleanType, StringType
 
 #: All 29 white-space code points; Spark's ``trim`` knows only the blank.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+# What a wrongly decoded text and a placeholder look like.
 MOJIBAKE = "[Â-ô][\u0080-¿]+|�"
 PLACEHOLDER = r"\{[^}]*\}|%\d*\$?[sdfx]|<[^>]+>|\[\[[^\]]+\]\]"
 
@@ -52,9 +54,10 @@ def placeholders(c: Column) -> Column:
 
 
 def multiset_minus(a: Column, b: Column) -> Column:
-    """Distinct values that ``a`` holds more often than ``b``."""
+    """What ``a`` holds more of than ``b``, each value as often as it does."""
     times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.filter(F.array_distinct(a), lambda x: times(a, x) > times(b, x))
+    more = F.transform(F.array_distinct(a), lambda x: F.array_repeat(x, F.greatest(F.lit(0), times(a, x) - times(b, x))))
+    return F.flatten(more)
 
 
 def whitespace_issue(c: Column) -> Column:
@@ -62,14 +65,63 @@ def whitespace_issue(c: Column) -> Column:
     return F.when(strip(c) != c, "leading/trailing whitespace").when(c.rlike(r"\p{Cc}"), "control character").when(c.contains("﻿"), "embedded BOM")
 
 
+#: Han, kana, Hangul: terms of these scripts have no word boundaries.
+CJK = re.compile("[\u1100-\u11ff\u2e80-\u2fdf\u3005\u3007\u3021-\u3029\u3038-\u303b\u3040-\u30ff\u3130-\u318f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua960-\ua97f\uac00-\ud7ff\uf900-\ufaff\uff66-\uff9d\uffa0-\uffdc\U0001b000-\U0001b16f\U00020000-\U0003fffd]")
+WORD = r"[\p{L}\p{N}_]"
+
+
 def is_cjk(c: Column) -> Column:
     return c.rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")
 
 
+def wide_script(c: Column) -> Column:
+    """The wider test that linking uses: any character from U+2E80 on."""
+    return c.rlike(r"[\x{2E80}-\x{10FFFF}]")
+
+
+def mostly_cjk(c: Column) -> Column:
+    """Whether at least half of the characters, and one at least, are Hangul, kana or Han."""
+    return F.length(F.regexp_replace(c, r"[^가-힣぀-ヿ㐀-鿿]", "")) >= F.greatest(F.lit(1), F.floor(F.length(c) / 2))
+
+
+def looks_korean(c: Column) -> Column:
+    return c.rlike("[가-힣]")
+
+
+def looks_japanese(c: Column) -> Column:
+    return c.rlike("[぀-ヿ]")
+
+
+def printable(c: Column) -> Column:
+    """Control, format, surrogate, private and unassigned characters as ``·``."""
+    return F.regexp_replace(c, r"\p{C}", "·")
+
+
+def boundary_pattern(term: str) -> str:
+    """A pattern for ``term`` with a word boundary at both ends: on each side of it a word character and none (or the text's end) meet.
+
+    So a term that begins or ends with a mark (``C++``) needs a word character next to that mark, as with ``\\b``.
+    """
+    inside = lambda c: c.isalnum() or c == "_"
+    if not term:
+        return "(?!)"
+    quoted = re.sub(r"([^\w\s]|_)", r"\\\1", term)
+    after = f"(?!{WORD})" if inside(term[-1]) else f"(?={WORD})"
+    return f"{quoted}{after}(?<{'!' if inside(term[0]) else '='}{WORD}{quoted})"
+
+
+def at_boundary(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] has word boundaries at both ends."""
+    inside = lambda i: 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+    return inside(start - 1) != inside(start) and inside(end - 1) != inside(end)
+
+
 def bounded(text: Column, term: Column) -> Column:
-    """Whether ``term`` stands in ``text`` between non-word characters; CJK terms match anywhere."""
-    quoted = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])\Q"), term, F.lit(r"\E([^\p{L}\p{N}_]|$)"))
-    return F.when(is_cjk(term), F.contains(text, term)).otherwise(F.regexp_like(text, quoted))
+    """Whether ``term`` stands in ``text`` between word boundaries (see ``boundary_pattern``); CJK terms match anywhere, an empty term nowhere."""
+    quoted = F.concat(F.lit(r"\Q"), term, F.lit(r"\E"))
+    left = F.when(term.rlike(f"^{WORD}"), F.lit(f"(?<!{WORD})")).otherwise(F.lit(f"(?<={WORD})"))
+    right = F.when(term.rlike(f"{WORD}$"), F.lit(f"(?!{WORD})")).otherwise(F.lit(f"(?={WORD})"))
+    return F.when(term == "", F.lit(False)).when(is_cjk(term), F.contains(text, term)).otherwise(F.contains(text, term) & F.regexp_like(text, F.concat(left, quoted, right)))
 
 
 def base_lang(c: Column) -> Column:
@@ -98,11 +150,29 @@ def lang_aliases(c: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
-    """Grams of the text between ``^`` and ``$``; a shorter text is one gram."""
+    """Grams of the text between ``^`` and ``$``; a shorter text is one gram. Fold and strip it first, as ``corpus.gram_weights`` does."""
     padded = F.concat(F.lit("^"), c, F.lit("$"))
     return F.when(F.length(padded) <= n, F.array(padded)).otherwise(F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n))))
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Of two maps from gram to weight; 0 for an empty one or one without length."""
+    dot = F.aggregate(F.map_keys(a), F.lit(0.0), lambda acc, k: acc + a[k] * F.coalesce(b[k], F.lit(0.0)))
+    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda acc, v: acc + v * v))
+    return F.when(norm(a) * norm(b) > 0, dot / (norm(a) * norm(b))).otherwise(0.0)
+
+
+def cluster_fold(c: Column) -> Column:
+    """NFKC and case folding without hyphens, white space runs as one blank: what cosmetic variants share."""
+    return F.regexp_replace(strip(F.replace(fold(c), F.lit("-"), F.lit(""))), f"{SPACE}+", " ")
+
+
+def bounded_distance(a: Column, b: Column, most: int) -> Column:
+    """The edit distance, or ``most + 1`` where it is larger."""
+    d = F.levenshtein(a, b, most)
+    return F.when(d < 0, most + 1).otherwise(d)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length; 1 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))

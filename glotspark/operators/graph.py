@@ -15,16 +15,19 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
 
 
-def clusters(records: DataFrame, key: str, signals: list[str]) -> DataFrame:
+def clusters(records: DataFrame, key: str, signals: list[str], folded: bool = False) -> DataFrame:
     """(key, cluster): records that share a non-blank signal, directly or through others; cluster is the smallest key.
 
+    With ``folded``, signals that differ in width, case, hyphens or blanks only are the same (see ``text.cluster_fold``).
+
     Each signal value links its records to the smallest of them, so a value with n records makes n links. Labels take
     the least of their neighbours', then their label's own label, until nothing changes.
     """
     star = None
     for s in signals:
-        # The minimum is pre-aggregated and joined back, so that one hot value never meets in one task.
-        held = records.where(X.filled(F.col(s).cast("string"))).select(F.col(key).alias("src"), F.col(s).cast("string").alias("value"))
+        # The minimum is pre-aggregated and joined back, so that one hot value never meets in one task; long values go by their hash.
+        value = X.cluster_fold(F.col(s).cast("string")) if folded else F.col(s).cast("string")
+        held = records.where(X.filled(F.col(s).cast("string"))).select(F.col(key).alias("src"), F.sha2(value.cast("binary"), 256).alias("value"))
         least = held.groupBy("value").agg(F.min("src").alias("dst"))
         one = held.join(least, "value").where("src <> dst").select("src", "dst")
         star = one if star is None else star.union(one)
@@ -66,6 +69,23 @@ def reachable(edges: DataFrame, source) -> DataFrame:
     return distances(edges, source).select("node", F.col("cost").cast("int").alias("hops"))
 
 
+def path(found: DataFrame, target) -> list | None:
+    """The nodes from the source to ``target`` along the parents of ``distances``; None where it isn't reached. Ties went to the smaller parent."""
+    row = found.where(F.col("node") == F.lit(target)).first()
+    if row is None:
+        return None
+    out = [row.node]
+    while row.parent is not None:  # as many steps as the path has
+        row = found.where(F.col("node") == F.lit(row.parent)).first()
+        out.append(row.node)
+    return out[::-1]
+
+
+def shortest_path(edges: DataFrame, source, target, weight: str | None = None) -> list | None:
+    """The path of the fewest hops, or of the least cost with ``weight``."""
+    return path(distances(edges, source, weight), target)
+
+
 def ancestors(concepts: DataFrame) -> DataFrame:
     """(id, ancestor, depth) along ``broader``, unresolved parents included; a chain stops before a node it has seen."""
     hop = cut(concepts.select("id", "broader").where(X.filled(F.col("broader"))))
@@ -78,6 +98,12 @@ def ancestors(concepts: DataFrame) -> DataFrame:
     return found.select("id", "ancestor", "depth")
 
 
+def registered(tags: DataFrame) -> DataFrame:
+    """(lang, value): a store from (ord, lang, value) with every value under its normalised tag and under its base language; the last by ord stays."""
+    rows = tags.select("ord", F.explode(X.lang_aliases(F.col("lang"))).alias("lang"), "value")
+    return rows.groupBy("lang").agg(F.max_by("value", "ord").alias("value"))
+
+
 def lookup(keys: DataFrame, store: DataFrame) -> DataFrame:
     """(id, lang, value): the store's (lang, value) under the normalised tag, else under its base language, else null."""
     tries = keys.select("id", "lang", F.posexplode_outer(X.lang_aliases(F.col("lang"))).alias("rank", "tag"))

@@ -44,11 +44,16 @@ def parsed(files: DataFrame) -> DataFrame:
 def localised(base: DataFrame, variants: DataFrame) -> DataFrame:
     """Parsed posts with the entries and body of the variant (slug, raw) of the same slug on top.
 
-    Blank entries and a blank body of a variant give way to the base; the thumbnail is always the base's. ``variants``
-    has one row for each slug at most.
+    A variant's blank entries give way to the base; its body replaces the base's whole, blank or not; the thumbnail is
+    always the base's. ``variants`` has one row for each slug at most; one without raw text is none.
     """
     v = variants.select("slug", without_blanks(front_matter(F.col("raw"))).alias("own"), body(F.col("raw")).alias("text"))
     both = base.join(v, "slug", "left")
     kept = F.map_filter("data", lambda k, _: ~F.coalesce(F.map_contains_key("own", k), F.lit(False)))
     data = F.when(F.col("own").isNull(), F.col("data")).otherwise(F.map_concat(kept, "own"))
-    return both.select("slug", data.alias("data"), F.when(X.filled(F.col("text")), F.col("text")).otherwise(F.col("content")).alias("content"), "thumbnail")
+    return both.select("slug", data.alias("data"), F.coalesce("text", "content").alias("content"), "thumbnail")
+
+
+def listing(files: DataFrame, locales: tuple[str, ...] = ("en", "ja", "zh")) -> DataFrame:
+    """Parsed posts of (name, raw), base files only: names in ``.mdx`` that don't end in a locale."""
+    return parsed(files.where(F.endswith("name", F.lit(".mdx")) & ~F.col("name").rlike(rf"\.({'|'.join(locales)})\.mdx$")))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import bounded_broadcast
 
 def mcnemar(b: int, c: int) -> float:
     """Exact two-sided p of ``b`` against ``c`` discordant pairs; 1 without any."""
@@ -34,6 +35,57 @@ def bootstrap_f1(pairs: DataFrame, draws: int = 2000, alpha: float = 0.05, seed:
     return float(f1[int(alpha / 2 * draws)]), float(f1[min(int((1 - alpha / 2) * draws), draws - 1)])
 
 
+def bootstrap_rows(pairs: DataFrame, draws: int = 2000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
+    """As ``bootstrap_f1``, by drawing rows: every resample draws as many rows of (id, gold, predicted) as there are, by a hash of resample, place and seed."""
+    numbered = pairs.withColumn("at", F.row_number().over(Window.orderBy("id")) - 1) if "at" not in pairs.columns else pairs
+    n = numbered.count()
+    if not n:
+        return 0.0, 0.0
+    drawn = pairs.sparkSession.range(draws * n).select((F.col("id") % draws).alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int").alias("at"))
+    hits = drawn.groupBy("draw", "at").agg(F.count("*").alias("times")).join(numbered.select("at", "gold", "predicted"), "at")
+    part = lambda e: F.sum(F.when(F.expr(e), F.col("times")).otherwise(0))
+    counts = hits.groupBy("draw").agg(part("gold AND predicted").alias("tp"), part("gold <> predicted").alias("wrong"))
+    f1 = counts.select(F.when(F.col("tp") + F.col("wrong") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("wrong"))).otherwise(0.0).alias("f1"))
+    found = sorted(r.f1 for r in f1.collect())  # a row for each draw
+    return found[int(alpha / 2 * draws)], found[min(int((1 - alpha / 2) * draws), draws - 1)]
+
+
+def reached(scores: DataFrame, score: str, at: float) -> int:
+    """How many rows reach a score."""
+    return scores.agg(F.count_if(F.col(score) >= at)).first()[0]
+
+
+def inclusion_rates(n: int, k: int, trials: int, spark, seed: int = 0) -> DataFrame:
+    """(item, rate): how often each of ``n`` items is in a sample of ``k`` by hash, over ``trials`` seeds; k / n for a fair sample."""
+    rows = spark.range(n * trials).select((F.col("id") % n).alias("item"), F.expr(f"id div {n}").alias("trial"))
+    rank = F.row_number().over(Window.partitionBy("trial").orderBy(F.xxhash64("item", "trial", F.lit(seed)), "item"))
+    return rows.withColumn("rank", rank).groupBy("item").agg((F.count_if(F.col("rank") <= k) / trials).alias("rate"))
+
+
+def noise_sweep(rows: DataFrame, rates: Sequence[float], seed: int = 0) -> DataFrame:
+    """(rate, accuracy) of naive Bayes trained on rows (id, tokens, label 0/1) of which a share has its label turned over; the test rows stay clean.
+
+    Rows are split 70 to 30 by a hash of their ids. The same rows are turned over in every run, and those of a lower rate at every higher one.
+    """
+    part = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(10))
+    train, test = rows.where(part < 7), rows.where(part >= 7)
+    out = None
+    for rate in rates:
+        guess = bayes_predict(flipped(train, "label", "id", rate, seed).select("label", "tokens"), test.select("id", "tokens"))
+        one = test.join(guess, "id").agg(F.lit(float(rate)).alias("rate"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def merged_shards(shards: list[DataFrame], key: str) -> DataFrame:
+    """The rows of sorted shards in one order: by ``key``, ties by shard and by the place within it. A range partitioning and an external sort."""
+    out = None
+    for k, shard in enumerate(shards):
+        one = shard.withColumn("shard", F.lit(k)).withColumn("place", F.monotonically_increasing_id())
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(key, "shard", "place")
+
+
 def budget_threshold(scores: DataFrame, group: str, score: str, budget: int) -> DataFrame:
     """(group, threshold): the smallest score of the group that at most ``budget`` of its rows reach; groups without one are left out."""
     counts = scores.groupBy(group, score).agg(F.count("*").alias("n"))
@@ -53,7 +105,8 @@ def bayes_scores(train: DataFrame, test: DataFrame) -> DataFrame:
     words = train.select("label", F.explode("tokens").alias("token")).groupBy("label", "token").agg(F.count("*").alias("n"))
     size = words.agg(F.count_distinct("token").alias("v"))
     totals = priors.join(words.groupBy("label").agg(F.sum("n").alias("total")), "label", "left")
-    model = F.broadcast(totals.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(priors.agg(F.sum("docs").alias("all_docs")))))
+    one = lambda df: df.select("*", F.lit(1).alias("__one"))
+    model = bounded_broadcast(one(totals).join(one(size), "__one").join(one(priors.agg(F.sum("docs").alias("all_docs"))), "__one").drop("__one"))
     # Every token weighs ln(1 / (total + v)); a known one adds ln(n + 1), so only hits are joined.
     hits = test.select("id", F.explode("tokens").alias("token")).groupBy("id", "token").agg(F.count("*").alias("times")).join(words, "token")
     gain = hits.groupBy("id", "label").agg(F.sum(F.col("times") * F.log(F.col("n") + 1.0)).alias("gain"))

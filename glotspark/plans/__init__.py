@@ -1,5 +1,5 @@
-"""Registered queries: ``registry`` holds the tables, ``more`` adds to them."""
+"""Registered queries: ``registry`` holds the tables, the others add to them."""
 
-from . import extra, more, registry
+from . import extra, knowledge, more, quality, registry
 
-__all__ = ["extra", "more", "registry"]
+__all__ = ["extra", "knowledge", "more", "quality", "registry"]

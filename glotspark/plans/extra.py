@@ -13,7 +13,7 @@ from .registry import query, read
 _BRAND = "CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END"
 
 
-@query(f"SELECT CAST(p_partkey AS VARCHAR) AS slug, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS title, {_BRAND} AS brand, CASE WHEN p_size % 4 = 0 THEN 'own' ELSE 'see ![it](/i/' || p_partkey || '.png)' END AS content, '/i/' || p_partkey || '.png' AS thumbnail FROM part")
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS slug, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS title, {_BRAND} AS brand, CASE WHEN p_size % 4 = 0 THEN 'own' WHEN p_size % 2 = 0 THEN ' ' ELSE 'see ![it](/i/' || p_partkey || '.png)' END AS content, '/i/' || p_partkey || '.png' AS thumbnail FROM part")
 def localised_posts(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     raw = F.expr(f"concat('---\\ntitle: ', p_name, '\\nno field\\nbrand: ', {_BRAND}, '\\n---\\nsee ![it](/i/', p_partkey, '.png)')")
@@ -24,12 +24,13 @@ def localised_posts(spark, sf_dir):
     return out.select("slug", F.col("data")["title"].alias("title"), F.col("data")["brand"].alias("brand"), "content", "thumbnail")
 
 
-@query("SELECT doc_id, true AS found FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, 'latin-1>utf-8' AS pair, text FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]')")
 def mojibake_repairs(spark, sf_dir):
+    """Documents read with the wrong encoding, and the candidate of the pair that undoes it."""
     docs = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\x00-\x7F]"))
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    found = F.exists(R.repairs(broken), lambda x: (x["wrong"] == "latin-1") & (x["true"] == "utf-8") & (x["text"] == F.col("text")))
-    return docs.select("doc_id", found.alias("found"))
+    found = docs.select("doc_id", F.explode(R.repairs(broken)).alias("r")).where("r.wrong = 'latin-1' AND r.true = 'utf-8'")
+    return found.select("doc_id", F.concat_ws(">", "r.wrong", "r.true").alias("pair"), "r.text")
 
 
 @query(

@@ -79,7 +79,7 @@ def constrained_slots(spark, sf_dir):
     return S.expand(spark, {"a": "xyz", "b": "xyw", "c": "12"}, "a <> b")
 
 
-@query()
+@query("SELECT user_id, CAST(len(list_reduce(list([value] ORDER BY ts, event_id), lambda acc, x: list_concat(acc[1:len(list_filter(acc, lambda t: t < x[1]))], x, acc[len(list_filter(acc, lambda t: t < x[1])) + 2:]))) AS BIGINT) AS longest FROM events GROUP BY user_id")
 def rising_values(spark, sf_dir):
     """Length of the longest run of rising values in each user's whole sequence, by time and event."""
     ordered = read(spark, sf_dir, "events").groupBy("user_id").agg(F.expr("transform(array_sort(collect_list(struct(ts, event_id, value))), x -> x.value)").alias("vals"))

@@ -97,10 +97,17 @@ def tag_drift(spark, sf_dir):
     return tags.groupBy(X.base_lang(F.col("tag")).alias("base")).agg(F.count_distinct("tag").alias("n_forms"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("forms")).where("n_forms > 1")
 
 
-@query()
+_PARTS = "list_transform(string_split(replace(tag, '_', '-'), '-'), lambda p, i: CASE WHEN i = 1 THEN lower(p) ELSE {} END)"
+_NORMAL = "array_to_string(" + _PARTS.format("CASE WHEN regexp_matches(p, '^[A-Za-z]{4}$') THEN upper(left(p, 1)) || lower(substr(p, 2)) WHEN regexp_matches(p, '^[A-Za-z]{2}$') THEN upper(p) ELSE lower(p) END") + ", '-')"
+_DOC_TAGS = "SELECT DISTINCT CASE doc_id % 6 WHEN 0 THEN lang WHEN 1 THEN upper(lang) WHEN 2 THEN lang || '_' || lang WHEN 3 THEN upper(lang) || '-latn_' || lang WHEN 4 THEN lang || '-419' ELSE lang || '-Hant-tw-x' END AS tag FROM documents"
+_ALL_TAGS = f"SELECT tag FROM (VALUES {_TAGS}) t(tag) UNION {_DOC_TAGS}"
+
+
+@query(f"SELECT tag, {_NORMAL} AS normal, array_to_string({_PARTS.format('upper(p)')}, '-') AS canon, {_NORMAL} || CASE WHEN contains({_NORMAL}, '-') THEN ',' || split_part({_NORMAL}, '-', 1) ELSE '' END AS aliases FROM ({_ALL_TAGS})")
 def tag_forms(spark, sf_dir):
     tag = F.col("tag")
-    return spark.sql(f"SELECT tag FROM VALUES {_TAGS} AS t(tag)").select("tag", X.normalize_lang(tag).alias("normal"), X.canon_lang(tag).alias("canon"), F.array_join(X.lang_aliases(tag), ",").alias("aliases"))
+    tags = spark.sql(_ALL_TAGS.replace("FROM documents", "FROM {documents}").replace("(VALUES", "VALUES").replace(") t(tag)", " AS t(tag)"), documents=read(spark, sf_dir, "documents"))
+    return tags.select("tag", X.normalize_lang(tag).alias("normal"), X.canon_lang(tag).alias("canon"), F.array_join(X.lang_aliases(tag), ",").alias("aliases"))
 
 
 _SUBSTRING = f"SELECT d.doc_id AS id, CAST(t.ord AS INTEGER) AS ord, t.term FROM documents d, (VALUES {_VALUES}) t(ord, term) WHERE contains(lower(d.text), t.term)"

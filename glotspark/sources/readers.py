@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import codecs
+import csv
+import io
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Byte order marks, longest first: fixed values.
 MARKS = [("UTF-32-LE BOM", codecs.BOM_UTF32_LE), ("UTF-32-BE BOM", codecs.BOM_UTF32_BE), ("UTF-8 BOM", codecs.BOM_UTF8), ("UTF-16-LE BOM", codecs.BOM_UTF16_LE), ("UTF-16-BE BOM", codecs.BOM_UTF16_BE)]
@@ -43,27 +46,85 @@ def encodings(spark: SparkSession, path: str) -> DataFrame:
     return per_file.join(other, "path", "left").select("path", name.alias("encoding"))
 
 
+def _parsed(names: list[str], kind: T.StructType):
+    """The rows of a whole CSV text, its header left out; empty cells are null."""
+
+    @F.pandas_udf(T.ArrayType(kind))
+    def rows(s: pd.Series) -> pd.Series:
+        fill = lambda x: [v or None for v in (x + [None] * len(names))[: len(names)]]
+        return s.map(lambda t: [dict(zip(names, fill(x), strict=True)) for x in list(csv.reader(io.StringIO(t, newline="")))[1:] if x])
+
+    return rows
+
+
+def _legacy(spark: SparkSession, files: list[str], multi_line: bool) -> DataFrame:
+    """CSV files in cp949, decoded whole file by file in Python and parsed by Spark: no session setting is touched."""
+
+    @F.pandas_udf("string")
+    def text(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: bytes(b).decode("cp949"))
+
+    whole = spark.read.format("binaryFile").load(files).select(text("content").alias("text"))
+    header = whole.select(F.split("text", "\r?\n")[0].alias("h")).distinct().collect()  # one row for each header
+    out = None
+    for r in header:
+        names = next(csv.reader([r.h]))
+        kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+        one = whole.where(F.split("text", "\r?\n")[0] == r.h).select(F.explode(_parsed(names, kind)("text")).alias("row")).select("row.*")
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """The rows, all columns as strings, and (path, encoding) of the files; an error if a file can't be decoded.
 
-    Switches the session to Java's full set of charsets where a file is in cp949.
+    Files in UTF-8 are Spark's; those in cp949 are decoded whole, so they must fit in a task's memory.
     """
     found = encodings(spark, path).collect()  # a row for each file, as Spark's own listing
     bad = [r.path for r in found if r.encoding is None]
     if bad:
         raise ValueError(f"neither UTF-8 nor cp949: {bad}")
     out = None
-    for name, charset in (("utf-8-sig", "UTF-8"), ("cp949", "x-windows-949")):
+    for name, charset in (("utf-8-sig", "UTF-8"), ("cp949", None)):
         files = [r.path for r in found if r.encoding == name]
         if files:
-            if name == "cp949":
-                spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-            one = spark.read.csv(files, header=True, multiLine=multi_line, encoding=charset, escape='"')
+            one = _legacy(spark, files, multi_line) if name == "cp949" else spark.read.csv(files, header=True, multiLine=multi_line, encoding=charset, escape='"')
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     listing = spark.createDataFrame([tuple(r) for r in found], "path string, encoding string")
     return (spark.createDataFrame([], "value string") if out is None else out), listing
 
 
+def strings(df: DataFrame) -> DataFrame:
+    """All cells as strings, a missing one as the empty string."""
+    return df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns))
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, encoding) of whole files, decoded as ``decode`` does; null text and encoding where that fails."""
+
+    @F.pandas_udf("text string, encoding string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        def one(b):
+            try:
+                return decode(bytes(b))
+            except ValueError:
+                return None, None
+
+        return pd.DataFrame([one(b) for b in s], columns=["text", "encoding"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", run("content").alias("r"))
+    return files.select("path", "r.text", "r.encoding")
+
+
+def read_table(spark: SparkSession, url: str, table: str, number: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
+    """A database table over JDBC; with a numeric column and its bounds, in ``parts`` ranges at once. Filters and columns are pushed down."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if number and bounds:
+        reader = reader.options(partitionColumn=number, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return reader.load()
+
+
 def inspect(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, head, verdict): the first 32 bytes in hex, and the BOM, UTF-8, cp949 or unknown."""
 

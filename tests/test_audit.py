@@ -51,4 +51,4 @@ def test_command(spark, tmp_path, capsys, command):
     (tmp_path / "x.csv").write_text("key,ko,ja_JP,ja\na,가,ア,\na,나,イ,い\n", encoding="utf-8")
     code = main([command, str(tmp_path / "x.csv")], spark)
     out = capsys.readouterr().out
-    assert {"audit": code == 1 and "duplicate_key" in out and "lang_conflict" in out, "coverage": code == 1 and "0.5" in out, "inspect": code == 0 and "UTF-8" in out}[command]
+    assert {"audit": code == 1 and "duplicate key" in out and "mixed lang-code forms" in out, "coverage": code == 1 and "0.5" in out, "inspect": code == 0 and "UTF-8" in out}[command]
