@@ -36,7 +36,7 @@ def _folded() -> np.ndarray:
     """For each code point its lower-case letter, or 32."""
     if not _FOLDED:
         out = np.full(0x110000, 32, np.uint32)
-        for i in (*range(0xD800), *range(0xE000, 0x32000)):
+        for i in (*range(0xD800), *range(0xE000, 0x110000)):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
@@ -87,12 +87,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
             at = np.flatnonzero(have)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(have[at])], names=["lang", "feature", "n"])
 
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string"), F.col(lang).cast("string"))
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias(text), F.col(lang).cast("string").alias(lang))
+    names = sorted(r.lang for r in rows.select(F.col(lang).alias("lang")).distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages, the model's bound")
     counts = rows.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     found = counts.toPandas()
-    names = sorted(found["lang"].unique().tolist())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the model's bound is {MAX_LANGUAGES}")
     matrix = np.zeros((len(names), FEATURES + 1))
     if names:
         matrix[np.searchsorted(names, found["lang"].to_numpy(str)), found["feature"].to_numpy()] = found["n"].to_numpy()

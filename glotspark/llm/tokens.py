@@ -7,6 +7,7 @@ about 2**-58, so hashes stand for words wherever counts or sets of words are com
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,19 @@ _RATIO = 0x9E3779B97F4A7C13  # 3 modulo 8
 _INVERSE = pow(_RATIO, -1, 1 << 64)
 
 
+def _return_freed_memory() -> None:
+    """Has freed arrays go back to the system at once: Python workers live on from stage to stage beside a full heap."""
+    try:
+        for option, value in ((-3, 1 << 18), (-1, 1 << 20)):  # M_MMAP_THRESHOLD and M_TRIM_THRESHOLD of glibc
+            ctypes.CDLL(None).mallopt(option, value)
+        pa.set_memory_pool(pa.system_memory_pool())
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+_return_freed_memory()
+
+
 def _class(delimiters: list[tuple[int, int]]) -> np.ndarray:
     kept = np.ones(256, bool)
     for a, b in delimiters:
@@ -71,7 +85,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most ``most`` bytes, or of one document."""
     i, n = 0, len(offsets) - 1
     while i < n:
