@@ -6,9 +6,11 @@ queue holds the nodes seen, and the one whose centre promises most is opened nex
 leaves to visit is calibrated: for CALIBRATION vectors, neighbours are found exactly over all
 rows, and visits widen until TARGET of them are in the leaves visited.
 
-Queries are dealt in blocks by leaf, vectors in blocks of a leaf; a block of queries meets
-only the vector blocks of leaves that one of its queries visits, and keeps its best so far,
-so memory holds one block of each. A leaf that holds very many vectors just has more blocks.
+Vectors move once, into groups of neighbouring leaves of at most about GROUP vectors (a larger
+leaf has several groups). A query goes, with its list of leaves, to the groups that hold
+leaves which it visits, and each gives back its k best there; the k best of these are its
+neighbours. So a task holds one group and a block of queries, and up to GROUP x FEWEST
+vectors the number of groups, and with it what moves for a query, doesn't grow.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do rows with null ids or with another dimension than the most common one (ties: the
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +33,7 @@ from .shared import saved
 
 SAMPLE, BRANCH, LEAF, MOST_LEAVES = 8192, 8, 256, 2048
 CALIBRATION, TARGET = 64, 0.96
-QUERY_BLOCK, VECTOR_BLOCK = 128, 1024
+QUERY_BLOCK, GROUP, FEWEST = 128, 1 << 15, 16
 
 
 class Tree:
@@ -107,11 +109,11 @@ def exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def best(score: np.ndarray, v: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Exact scores and ids of one query's k best in a block, its own rows masked first; ``floor``: what it takes to matter."""
+    """Exact scores and ids of one query's k best in a block, its own rows masked first (-inf: masked already); ``floor``: what it takes to matter."""
     score = np.where(ids == own, -np.inf, score)
     if len(score) > k:
         floor = max(floor, np.partition(score, -k)[-k])
-    at = np.flatnonzero(score >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else ids != own)
+    at = np.flatnonzero(score >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else score > -np.inf)
     s = exact(v[at], q)
     order = np.lexsort((ids[at], -s))[:k]
     return s[order], ids[at][order]
@@ -132,8 +134,8 @@ def _calibrated(indexed: DataFrame, tree: Tree, chosen: list, k: int, target: fl
                 rows.append((np.full(len(at), i), score[i][at], leaf[at]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["q", "score", "leaf"])
 
-    near = indexed.select("vec_id", "leaf", "vector").mapInArrow(run, "q long, score double, leaf long").toPandas()
-    near = near.sort_values(["q", "score"], ascending=[True, False]).groupby("q").head(k)
+    near = indexed.select("vec_id", "leaf", "vector").mapInArrow(run, "q long, score double, leaf long")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "leaf"))).where(F.col("n") <= k).toPandas()
     place = []
     for i, rows in near.groupby("q"):
         rank = {leaf: n for n, leaf in enumerate(tree.visits(q[i], tree.leaves))}
@@ -148,8 +150,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    every = max(1, total // SAMPLE)
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).limit(2 * SAMPLE).collect()
+    share = F.lit(min(1.0, SAMPLE / total) * 2.0**63 - 1.0)
+    mark = F.xxhash64("vec_id", "vector").bitwiseAND(F.lit((1 << 63) - 1))
+    drawn = rows.withColumn("mark", mark).where(F.col("mark").cast("double") <= share).orderBy("mark", "vec_id").limit(2 * SAMPLE).collect()
     drawn.sort(key=lambda r: (r.vec_id, r.vector))
     tree = Tree(np.array([r.vector for r in drawn], np.float64).reshape(len(drawn), -1), min(MOST_LEAVES, max(1, total // LEAF)))
     shared = spark.sparkContext.broadcast(tree)
@@ -161,61 +164,72 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_
     kind = T.StructType([*rows.schema.fields, T.StructField("leaf", T.LongType())])
     indexed = saved(rows.mapInArrow(place, kind), "knn-index")
     most = _calibrated(indexed, tree, drawn[:: max(1, len(drawn) // CALIBRATION)][:CALIBRATION], k, target)
-    asked = valid(queries, key, vector).mapInArrow(place, kind)
-    # Blocks: by size of the leaf, so that none holds more than a bounded number of rows.
-    part = lambda df, n: df.join(df.groupBy("leaf").agg(F.ceil(F.count("*") / n).alias("parts")), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    blocks = part(indexed, VECTOR_BLOCK).groupBy("leaf", "part").agg(F.collect_list(F.struct("vec_id", "vector")).alias("rows"))
-    # Leaves with near numbers are near in the tree; so many of them together ask as many queries as a block holds.
-    together = max(1, -(-tree.leaves * QUERY_BLOCK // max(1, asked.count())))
-    asked = part(asked.withColumn("leaf", F.floor(F.col("leaf") / together)), 2 * QUERY_BLOCK).groupBy("leaf", "part").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
+    # Groups of neighbouring leaves: leaf, its first group, and how many share it.
+    size = min(GROUP, max(1, -(-total // FEWEST)))
+    first, parts, group, held = np.zeros(tree.leaves, np.int64), np.ones(tree.leaves, np.int64), 0, 0
+    for r in sorted(indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()):  # a row for each leaf
+        if held and held + r.n > size:
+            group, held = group + 1, 0
+        first[r.leaf], parts[r.leaf] = group, max(1, -(-r.n // size))
+        group, held = (group, held + r.n) if parts[r.leaf] == 1 else (group + int(parts[r.leaf]), 0)
+    layout = spark.createDataFrame(list(zip(range(tree.leaves), first.tolist(), parts.tolist(), strict=True)), "leaf long, first long, parts long")
+    kept = indexed.join(F.broadcast(layout), "leaf")  # at most MOST_LEAVES rows
+    kept = kept.select((F.col("first") + F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts"))).alias("grp"), F.lit(-1).cast("long").alias("query"), "vec_id", "vector", F.array("leaf").alias("leaves"))
+    asked = saved(valid(queries, key, vector).withColumn("query", F.monotonically_increasing_id()), "knn-queries")
+    routes = T.StructType([T.StructField("grp", T.LongType()), T.StructField("query", T.LongType()), *rows.schema.fields, T.StructField("leaves", T.ArrayType(T.LongType()))])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block of queries the leaves that any of them visits; which ones do is told again where they meet."""
         for batch in batches:
-            for i in range(batch.num_rows):
-                q = _matrix(batch.column(2)[i].values.field("vector"))
-                leaves = sorted({leaf for x in q for leaf in shared.value.visits(x, most)})
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(leaves)), pa.array([batch.column(1)[i].as_py()] * len(leaves)), pa.array(leaves)], names=["q_leaf", "q_part", "leaf"])
-
-    asked = saved(asked, "knn-queries")
-    routes = asked.mapInArrow(route, "q_leaf long, q_part long, leaf long")
-    met = routes.join(blocks, "leaf")
-    met = met.select("q_leaf", "q_part", "leaf", "rows", F.lit(None).cast(asked.schema["queries"].dataType).alias("queries"))
-    met = asked.select(F.col("leaf").alias("q_leaf"), F.col("part").alias("q_part"), F.lit(-1).cast("long").alias("leaf"), F.lit(None).cast(blocks.schema["rows"].dataType).alias("rows"), "queries").union(met)
-    met = met.repartition("q_leaf", "q_part").sortWithinPartitions("q_leaf", "q_part", "leaf")
+            for i in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(i, QUERY_BLOCK)
+                groups, own, leaves = [], [], []
+                for n, q in enumerate(_matrix(part.column(1))):
+                    goes: dict[int, list[int]] = {}
+                    for leaf in shared.value.visits(q, most):
+                        for g in range(first[leaf], first[leaf] + parts[leaf]):
+                            goes.setdefault(g, []).append(leaf)
+                    groups += goes
+                    own += [n] * len(goes)
+                    leaves += goes.values()
+                row = part.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), row.column(2), row.column(0), row.column(1), pa.array(leaves, pa.list_(pa.int64()))], names=routes.names)
+
+    # Of a group, vectors come first (their query is -1), by leaf; then queries.
+    met = kept.union(asked.select("vec_id", "vector", "query").mapInArrow(route, routes)).repartition("grp").sortWithinPartitions("grp", "query")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, q_ids, q, goes, held = None, np.zeros(0, np.int64), np.zeros((0, 0)), [], []
-
-        def done() -> pa.RecordBatch:
-            out = [(np.full(len(s), i), np.arange(1, len(s) + 1), ids, s) for i, (s, ids) in zip(q_ids, held, strict=True)]
-            a, b, c, d = (np.concatenate(x) for x in zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int32()), pa.array(c), pa.array(d)], names=["query_id", "rank", "vec_id", "score"])
-
+        at, fresh, ids, leaf, v = None, [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))
         for batch in batches:
-            for i in range(batch.num_rows):
-                leaf = batch.column(2)[i].as_py()
-                if leaf == -1:
-                    if at is not None:
-                        yield done()
-                    at = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
-                    rows = batch.column(4)[i].values
-                    q_ids, q = rows.field("vec_id").to_numpy(), _matrix(rows.field("vector"))
-                    goes = [set(shared.value.visits(x, most)) for x in q]
-                    held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q]
+            grp, query = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | ((query[1:] < 0) != (query[:-1] < 0))]))
+            for a, b in zip(edges, np.append(edges[1:], len(grp)), strict=True):
+                if grp[a] != at:
+                    at, fresh, ids, leaf, v = grp[a], [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0))
+                if query[a] < 0:
+                    fresh.append(batch.slice(a, b - a))
                     continue
-                rows = batch.column(3)[i].values
-                ids, v = rows.field("vec_id").to_numpy(), _matrix(rows.field("vector"))
-                mine = [n for n, x in enumerate(goes) if leaf in x]
-                score = q[mine] @ v.T
-                for row, n in zip(score, mine, strict=True):
-                    s, found = held[n]
-                    new, who = best(row, v, ids, q[n], q_ids[n], k, s[-1] if len(s) == k else -np.inf)
-                    if len(new):
-                        s, found = np.concatenate([s, new]), np.concatenate([found, who])
-                        order = np.lexsort((found, -s))[:k]
-                        held[n] = s[order], found[order]
-        if at is not None:
-            yield done()
-
-    return met.mapInArrow(meet, "query_id long, rank int, vec_id long, score double")
+                if fresh:
+                    leaf = np.concatenate([x.column(4).flatten().to_numpy() for x in fresh])
+                    order = np.argsort(leaf, kind="stable")
+                    leaf, ids = leaf[order], np.concatenate([x.column(2).to_numpy() for x in fresh])[order]
+                    v, fresh = np.concatenate([_matrix(x.column(3)) for x in fresh])[order], []
+                for i in range(a, b, QUERY_BLOCK):
+                    part = batch.slice(i, min(QUERY_BLOCK, b - i))
+                    q, own, goes = _matrix(part.column(3)), part.column(2).to_numpy(), part.column(4)
+                    near = np.isin(leaf, goes.flatten().to_numpy())  # of leaves that any of these queries visits
+                    score, low, who = q @ v[near].T, leaf[near], ids[near]
+                    rows, them = v[near], []
+                    for n in range(len(q)):
+                        mine = np.zeros(tree_leaves, bool)
+                        mine[goes[n].values.to_numpy()] = True
+                        them.append(best(np.where(mine[low], score[n], -np.inf), rows, who, q[n], own[n], k, -np.inf))
+                    count = [len(s) for s, _ in them]
+                    numbers = part.column(1).to_numpy()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(numbers, count)), pa.array(np.repeat(own, count)), pa.array(np.concatenate([x for _, x in them])), pa.array(np.concatenate([s for s, _ in them]))], names=["query", "query_id", "vec_id", "score"]
+                    )
+
+    tree_leaves = tree.leaves
+    found = met.mapInArrow(meet, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
