@@ -6,12 +6,17 @@ sets that hold it in their prefix (with size and position); shingles are ordered
 common they are, so that passages which many documents share come last. Two sets that link
 share a shingle of their prefixes, so the lists miss nothing.
 
-Set relations are used three times. Equal sets are one entry. Each list's entries are first
-compared with the list's pivot only (the entry with the fewest rarer shingles), and the answers of a set that is linked are derived
-for all that its component holds: pairs within a component are never compared again. What
-is left in a list is cut into blocks by size class and position, blocks that can't reach
-the threshold are skipped whole, a pair is left out of lists where both sets have the same
-shingle before (an earlier list has it), and only pairs across components are verified, exactly.
+Set relations are used throughout. Equal sets are one entry: only one document of each class
+of equal sets is indexed. Each list's entries are first compared with the list's pivot only
+(the entry with the fewest rarer shingles), and the overlaps found are kept. The answers of a
+set that is linked hold for all that its component holds: pairs within a component are never
+compared again. For a pair across components the pivot's answers tell how much two sets can
+share: no more than one shares with the pivot and the other has beside the pivot; what can't
+reach the threshold by that is left out. The rest of a list is cut into blocks by size class;
+an entry's position says up to which size a partner can reach the threshold, and blocks beyond
+that, or below the smallest possible size, are skipped whole. A pair is left out of lists where
+both sets have the same shingle before (an earlier list has it), and only what then remains is
+verified, exactly.
 
 Shingles are 64-bit hashes (see ``tokens``). The order of shingles comes from counts over
 all documents; it decides the work, never the result.
@@ -38,6 +43,10 @@ from .shared import saved
 
 #: A shingle is common when this share of the documents holds it; at most COMMON_MOST are told apart.
 COMMON_SHARE, COMMON_MOST = 1 / 500, 1 << 17
+#: Shingles that a Python worker gathers before it hands them on.
+HELD = 1 << 20
+#: Documents are picked by a bitmap of their hashes (at most 32 MB) up to so many, by a join beyond.
+PICKED = 1 << 24
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,14 +80,22 @@ def _sets(batch: pa.RecordBatch, width: int, wanted: np.ndarray | None = None) -
 def common(docs: DataFrame, width: int) -> np.ndarray:
     """The common shingles, rarest first; bounded by COMMON_MOST (1 MB)."""
 
+    def counted_in(held: list[np.ndarray]) -> pa.RecordBatch:
+        s, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["s", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[np.ndarray] = []
+            size = 0
             for _, s in _sets(batch, width):
                 held.append(s)
+                size += len(s)
+                if size > HELD:
+                    yield counted_in(held)
+                    held, size = [], 0
             if held:
-                s, n = np.unique(np.concatenate(held), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["s", "n"])
+                yield counted_in(held)
 
     total = docs.count()
     counted = docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
@@ -129,30 +146,62 @@ def described(docs: DataFrame, width: int, salt: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, n long, k1 long, k2 long, sketch binary")
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
-    """For each document its set's key, the set's size, and its prefix in the shared order, each shingle with the one before it."""
-    order = common(docs, width)
+def picked(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc, text, held) of at least the documents ``chosen`` (doc): ``held`` says which rows to look at."""
+    n = chosen.count()
+    if n > PICKED:
+        return docs.join(chosen, "doc", "left_semi").select("doc", "text", F.lit(True).alias("held"))
+    bits = 1 << min(28, max(20, (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    parts = chosen.select((place(F.col("doc")) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for r in parts:
+        own = np.frombuffer(r.bits, np.uint8)
+        bitmap[(r.bucket - 1) * 4096 :][: len(own)] = own
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(2).to_numpy()
+            found = batch.filter(pa.array((shared.value[p >> 3] >> (p & 7) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), pa.array(np.ones(found.num_rows, bool))], names=["doc", "text", "held"])
+
+    return docs.select("doc", "text", place(F.col("doc")).alias("p")).mapInArrow(run, "doc long, text string, held boolean")
+
+
+def prefixes(docs: DataFrame, width: int, percent: int, salt: int, order: np.ndarray) -> DataFrame:
+    """For each document (each class of equal sets once a batch) its set's key, the set's size, and its prefix in the shared order, each shingle with the one before it."""
     shared = docs.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order, kind="stable")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, place = shared.value
+
+        def row(node: list, n: list, kept: list) -> pa.RecordBatch:
+            edges = np.concatenate([[0], np.cumsum([len(p) for p in kept])]).astype(np.int32)
+            s = np.concatenate(kept)
+            pair = pa.StructArray.from_arrays([pa.array(s), pa.array(np.concatenate([s[:1], s[:-1]]))], names=["s", "prev"])
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pair)], names=["node", "n", "prefix"])
+
         for batch in batches:
-            node, n, kept = [], [], []
+            node, n, kept, size, met = [], [], [], 0, set()
             for _, s in _sets(batch, width):
-                if not len(s):
+                key = keys(s, salt)[0] if len(s) else None
+                if key is None or key in met:
                     continue
-                node.append(keys(s, salt)[0])
+                met.add(key)
+                node.append(key)
                 n.append(len(s))
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     late = frequent[at] == s
                     s = np.concatenate([s[~late], s[late][np.argsort(place[at[late]])]])
-                kept.append(s[: prefix_length(len(s), percent)].view(np.int64))
+                kept.append(s[: prefix_length(n[-1], percent)].view(np.int64))
+                size += len(kept[-1])
+                if size > HELD:
+                    yield row(node, n, kept)
+                    node, n, kept, size = [], [], [], 0
             if node:
-                edges = np.concatenate([[0], np.cumsum([len(p) for p in kept])]).astype(np.int32)
-                s = np.concatenate(kept)
-                pair = pa.StructArray.from_arrays([pa.array(s), pa.array(np.concatenate([s[:1], s[:-1]]))], names=["s", "prev"])
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pair)], names=["node", "n", "prefix"])
+                yield row(node, n, kept)
 
     return docs.select("text").mapInArrow(run, "node long, n int, prefix array<struct<s:long,prev:long>>")
 
@@ -163,34 +212,27 @@ def _can(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {need}"
 
 
-def _sets_of(docs: DataFrame, reps: DataFrame, width: int, salt: int) -> DataFrame:
-    """(node, set) of at least the documents ``reps`` (doc): a bitmap of their hashes, of bounded size, filters the texts."""
-    bits = 1 << min(28, max(20, (16 * reps.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    parts = reps.select((place(F.col("doc")) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in parts:
-        own = np.frombuffer(r.bits, np.uint8)
-        bitmap[(r.bucket - 1) * 4096 :][: len(own)] = own
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _sets_of(docs: DataFrame, chosen: DataFrame, width: int, salt: int) -> DataFrame:
+    """(node, set) of the classes of at least the documents ``chosen`` (doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
         for batch in batches:
-            p = batch.column(1).to_numpy()
-            nodes, sets, size = [], [], 0
-            for _, s in _sets(batch, width, (held[p >> 3] >> (p & 7) & 1).astype(bool)):
-                if len(s):
-                    nodes.append(keys(s, salt)[0])
-                    sets.append(s.view(np.int64))
-                    size += len(s)
-                if size > 1 << 20:
+            nodes, sets, size, met = [], [], 0, set()
+            for _, s in _sets(batch, width):
+                key = keys(s, salt)[0] if len(s) else None
+                if key is None or key in met:
+                    continue
+                met.add(key)
+                nodes.append(key)
+                sets.append(s.view(np.int64))
+                size += len(s)
+                if size > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
                     nodes, sets, size = [], [], 0
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return docs.select("text", place(F.col("doc")).alias("p")).mapInArrow(run, "node long, set array<long>")
+    return picked(docs, chosen).select("text").mapInArrow(run, "node long, set array<long>")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -206,14 +248,14 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link, counted exactly."""
+def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
+    """(a, b, o, linked) of those of ``pairs`` (a, b) that sketches don't rule out: how many shingles they share, counted exactly."""
     pairs = saved(_possible(pairs, classes, percent), "jaccard-possible")
-    reps = pairs.selectExpr("explode(array(a, b)) AS k1").distinct().join(classes.select("k1", "doc"), "k1").select("doc")
-    sets = saved(_sets_of(docs, reps, width, salt), "jaccard-verify")
+    chosen = pairs.selectExpr("explode(array(a, b)) AS k1").distinct().join(classes.select("k1", "doc"), "k1").select("doc")
+    sets = saved(_sets_of(docs, chosen, width, salt), "jaccard-verify")
     both = F.size(F.array_intersect("set_a", "set_b"))
     rows = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", both.alias("o"), (F.size("set_a") + F.size("set_b")).alias("n"))
-    return saved(rows.where(f"{100 + percent} * o >= {percent} * n").select("a", "b").distinct(), "jaccard-links")
+    return saved(rows.select("a", "b", "o", F.expr(f"{100 + percent} * o >= {percent} * n").alias("linked")).distinct(), "jaccard-links")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -228,28 +270,40 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             break
         salt += 1
     docs = docs.where("doc IS NOT NULL")
-    entries = prefixes(docs, width, percent, salt).select("node", "n", F.posexplode("prefix").alias("pos", "at")).select("node", "n", "pos", "at.s", "at.prev").repartition("s").dropDuplicates(["s", "node"])
+    indexed = prefixes(picked(docs, classes.select("doc").distinct()), width, percent, salt, common(docs, width))
+    entries = indexed.select("node", "n", F.posexplode("prefix").alias("pos", "at")).select("node", "n", "pos", "at.s", "at.prev")
+    entries = saved(entries.repartition("s").dropDuplicates(["s", "node"]), "jaccard-entries")
     # The pivot is the entry with the fewest rarer shingles before it: of near copies, the least edited.
-    entries = entries.selectExpr("s", "prev", "node", "n", "pos", "count(*) OVER (PARTITION BY s) AS held", "first_value(struct(node, n, pos)) OVER (PARTITION BY s ORDER BY pos, xxhash64(node), node) AS pivot")
-    lists = saved(entries.where("held > 1"), "jaccard-lists")
-    star = lists.alias("x").where(f"x.node <> x.pivot.node AND {_can(percent)}".replace("y.", "x.pivot."))
-    first = saved(star.select(F.expr("least(node, pivot.node)").alias("a"), F.expr("greatest(node, pivot.node)").alias("b")).distinct(), "jaccard-pairs")
-    links = _verified(first, docs, classes, width, percent, salt)
-    several = live.select("doc", "k1").distinct().groupBy("doc").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.collect_set("k1").alias("all")).where("a < b")
-    own = several.select("a", F.explode("all").alias("b")).where("a < b")
+    held = entries.groupBy("s").agg(F.count("*").alias("held"), F.min(F.struct("pos", F.xxhash64("node").alias("h"), "node", "n")).alias("pivot")).where("held > 1")
+    lists = saved(entries.join(held.select("s", "held", "pivot.node", "pivot.n", "pivot.pos").toDF("s", "held", "p_node", "p_n", "p_pos"), "s"), "jaccard-lists")
+    star = lists.selectExpr("struct(node, n, pos) AS x", "struct(p_node AS node, p_n AS n, p_pos AS pos) AS y").where(f"x.node <> y.node AND {_can(percent)}")
+    first = saved(star.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct(), "jaccard-pairs")
+    overlaps = _overlaps(first, docs, classes, width, percent, salt)
+    links = overlaps.where("linked").select("a", "b")
+    least = live.groupBy("doc").agg(F.min("k1").alias("a"), F.max("k1").alias("z")).where("a < z").select("doc", "a")
+    own = live.join(least, "doc").select("a", F.col("k1").alias("b")).where("a < b").distinct()
     known = saved(components(links.union(own)), "jaccard-components")
-    # What the pivots left open: entries of one list (of three or more) in different components, block by block.
-    placed = lists.where("held > 2").drop("pivot", "held").join(known, "node", "left").select("s", "prev", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-    mixed = placed.selectExpr("*", "min(component) OVER (PARTITION BY s) <> max(component) OVER (PARTITION BY s) AS open").where("open").drop("open")
-    block = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / percent)))
-    blocked = saved(mixed.withColumn("block", block), "jaccard-blocks")
-    # Sets that link are in the same block or in neighbouring ones: y is listed in its own and in the one below.
-    right = blocked.withColumn("block", F.explode(F.array("block", F.col("block") - 1)))
+    # What the pivots left open: entries of one list (of three or more) in different components.
+    placed = lists.where("held > 2").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = saved(placed.select("s", "prev", "node", "n", "pos", "p_node", "component"), "jaccard-placed")
+    mixed = placed.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("s")
+    # With the pivot's answers: how many shingles an entry shares with it, where that was counted.
+    answers = overlaps.select(F.col("a").alias("node"), F.col("b").alias("p_node"), "o").union(overlaps.select("b", "a", "o"))
+    told = placed.join(mixed, "s", "left_semi").join(answers, ["node", "p_node"], "left").withColumn("o", F.when(F.col("node") == F.col("p_node"), F.col("n")).otherwise(F.col("o")))
+    step = math.log(100 / percent) / 4
+    class_ = lambda n: F.floor(F.log(n.cast("double")) / step)
+    blocked = saved(told.withColumn("block", class_(F.col("n"))), "jaccard-blocks")
+    # y meets blocks of its own size class and below, down to the smallest partner that could link, and up to the largest that its position allows.
+    smallest = F.ceil(F.col("n") * percent / 100)
+    largest = F.least(F.col("n"), F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n"))
+    right = blocked.where(largest >= smallest).withColumn("block", F.explode(F.sequence(class_(smallest), class_(largest))))
     # A pair belongs to the list of the first shingle its prefixes share: not to one where both have the same shingle before.
     condition = f"x.s = y.s AND x.block = y.block AND x.component <> y.component AND (x.pos = 0 OR y.pos = 0 OR x.prev <> y.prev) AND (x.n < y.n OR x.n = y.n AND x.node < y.node) AND {_can(percent)}"
-    pairs = blocked.alias("x").join(right.alias("y"), F.expr(condition)).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+    # Two sets share no more than one does with the pivot and the other has beside the pivot.
+    bound = f"(x.o IS NULL OR y.o IS NULL OR {100 + percent} * least(x.o + y.n - y.o, y.o + x.n - x.o) >= {percent} * (x.n + y.n))"
+    pairs = blocked.alias("x").join(right.alias("y"), F.expr(f"{condition} AND {bound}")).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
     rest = saved(pairs.join(first, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = _verified(rest, docs, classes, width, percent, salt)
+    more = _overlaps(rest, docs, classes, width, percent, salt).where("linked").select("a", "b")
     if not more.isEmpty():
         # The components so far are stars of links; the new links join them.
         known = saved(components(more.union(known.toDF("a", "b"))), "jaccard-components")
