@@ -1,28 +1,34 @@
 """Secret scan: fixed patterns, and a linear-chain CRF that adds spans.
 
 Tokens (runs of letters, digits, ``+/_.=-`` and non-ASCII) are tagged secret begin, inside
-or outside. Features, hashed into one weight table: the token's shape, its neighbours and
-their shapes, the characters around it, and file features (key words in the text, share of
-digits) with the shape. Training windows come from at most SAMPLE documents chosen by a
-hash of their ids: the patterns' own secrets give the labels, and windows with made-up keys
-in many layouts are added, so that the model learns shapes that the patterns don't list. Weights are
+or outside. Features, hashed into one weight table: the token's shape, how often its
+characters change class, its longest runs and its signs, its neighbours and their shapes,
+the characters around it, and file features (key words in the text, share of digits) with
+the shape. Training windows come from about SAMPLE documents chosen by a hash of their ids
+and texts, at most WINDOWS windows of each: the patterns' own secrets give the labels. As
+the patterns find those anyway, each is there again with the key word before it hidden and
+another made-up key in its place; windows with made-up keys and harmless look-alikes in many
+layouts are added, so that the model learns keys that the patterns don't list. Weights are
 trained on the driver by exact forward-backward gradients and broadcast (768 KB).
 
 Decoding is exact Viterbi over whole texts. A token whose score for outside is ahead by
 more than transitions could ever repay is outside in every best path; such tokens cut the
-text into the short runs that are decoded. Nothing shuffles.
+text into the short runs that are decoded. Only the training sample shuffles.
 
 A span of the model that the patterns' matches cover is left out; one that reaches beyond them
 is a span of its own, and the matches stay beside it.
 
 Defined results: null text is empty; a text without tokens has no spans; ties go to
-outside, then begin; equal rows give equal results; a table without training windows adds
-no spans; input columns named like the outputs are replaced.
+outside, then begin; equal rows give equal results, and rows that repeat are one in training;
+a table without training windows adds no spans; input columns named like the outputs are
+replaced.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +43,8 @@ KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 WORDS = (b"passw", b"secret", b"token", b"api")
-SAMPLE, WINDOW, TABLE = 6000, 17, 1 << 16
+SAMPLE, WINDOWS, WINDOW, TABLE = 5000, 8, 17, 1 << 16
 O, B, I = 0, 1, 2
-#: Spans that the model adds have so many characters at least.
-SHORTEST = 12
 HEX = tokens._class([(0, 255)])
 HEX[48:58] = HEX[97:103] = True
 TOKEN = tokens._class([(0, 127)])
@@ -72,12 +76,22 @@ def base_spans(text: str, lower: bytes, hexes: list[tuple[int, int]]) -> tuple[l
     return sorted(found), inner
 
 
-def covered(start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
-    """Whether the sorted spans ``base`` leave nothing of a span."""
-    for p, _, q in base:
-        if p <= start < q:
-            start = q
-    return start >= end
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of sorted spans."""
+    starts, ends = [], []
+    for p, _, q in spans:
+        if starts and p <= ends[-1]:
+            ends[-1] = max(ends[-1], q)
+        else:
+            starts.append(p)
+            ends.append(q)
+    return starts, ends
+
+
+def covered(start: int, end: int, union: tuple[list[int], list[int]]) -> bool:
+    """Whether a union of spans leaves nothing of a span."""
+    k = bisect_right(union[0], start) - 1
+    return k >= 0 and end <= union[1][k]
 
 
 def _classes() -> np.ndarray:
@@ -90,6 +104,35 @@ def _classes() -> np.ndarray:
 
 
 _COUNTED = _classes()
+_SIGNS = b"_-./=+"
+FEATURES = 13
+
+
+def _kinds() -> np.ndarray:
+    """Of each byte: 0 lower, 1 upper, 2 digit, 3 sign, 4 non-ASCII, 5 outside of tokens."""
+    c = np.full(256, 5, np.uint8)
+    c[97:123], c[65:91], c[48:58], c[128:] = 0, 1, 2, 4
+    c[list(_SIGNS)] = 3
+    return c
+
+
+_KIND = _kinds()
+
+
+def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each token: changes of class, and the longest runs of lower-case letters, of digits, and of any class."""
+    kind = _KIND[data]
+    new = np.empty(len(kind), bool)
+    new[0] = True
+    new[1:] = kind[1:] != kind[:-1]
+    new[starts] = True  # a token ends at a byte of another class, or where the next one starts
+    begin = np.flatnonzero(new)
+    length = np.diff(np.append(begin, len(kind)))
+    own = kind[begin]
+    first = np.searchsorted(begin, starts)
+    changes = np.searchsorted(begin, ends) - first - 1
+    longest = lambda mask: np.maximum.reduceat(np.where(mask, length, 0), first)
+    return changes, longest(own == 0), longest(own == 2), longest(own < 5)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +140,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, first = tokens.words(data, offsets, TOKEN)
     n = len(starts)
     if not n:
-        return starts, ends, first, np.zeros((9, 0), np.int64)
+        return starts, ends, first, np.zeros((FEATURES, 0), np.int64)
     counts = []
     for row in _COUNTED:
         run = np.zeros(len(data) + 1, np.int32)
@@ -133,9 +176,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     digits = tokens.grouped_sum(digit, first)
     share = np.searchsorted([0.002, 0.01, 0.05], digits / np.maximum(1, offsets[1:] - offsets[:-1])).astype(np.uint64)
     file = (named * tokens.U(4) + share)[of]
+    changes, low_run, digit_run, run = _runs(data, starts, ends)
+    level = lambda x: np.searchsorted([1, 2, 3, 4, 6, 8, 12, 16, 24], x, "right").astype(np.uint64)
+    signs = np.zeros(n, np.uint64)
+    for c in _SIGNS:
+        held = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(data == c, out=held[1:])
+        signs = signs * tokens.U(4) + np.minimum(held[ends] - held[starts], 3).astype(np.uint64)
+    mixed = (10 * changes // np.maximum(1, size)).astype(np.uint64) * tokens.U(16) + band.astype(np.uint64)
+    runs = level(low_run) * tokens.U(256) + level(digit_run) * tokens.U(16) + level(run)
+    parts = (part(up) * 4 + part(digit)).astype(np.uint64)
     made = [shape, prev, nxt, prev2, char_low * tokens.U(256) + char_high, shape_prev * tokens.U(1 << 20) + shape, shape_next * tokens.U(1 << 20) + shape, file * tokens.U(1 << 32) + shape, np.where(size < 12, own, shape)]
+    made += [mixed, runs * tokens.U(16) + parts, signs * tokens.U(16) + parts, (mixed * tokens.U(4096) + runs) * tokens.U(16) + parts]
     shift = tokens.U(64 - TABLE.bit_length() + 1)
-    return starts, ends, first, np.stack([(tokens.mix(x + tokens.U(0x1234567 * (k + 1))) >> shift).astype(np.int64) for k, x in enumerate(made)])
+    return starts, ends, first, np.stack([(tokens.mix(x + tokens.U(0x1234567 * (k + 1))) >> shift).astype(np.int32) for k, x in enumerate(made)])
 
 
 def _hexes(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -153,7 +207,7 @@ def _hexes(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int]]]
 
 
 def _labelled(texts: list[str], own: list[list[tuple[int, int]]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(features x WINDOW, labels) around secrets, and one window without for each text. A label of -1 is padding."""
+    """(features x WINDOW, labels) around secrets, WINDOWS of them spread over a text, and one window anywhere. A label of -1 is padding."""
     data, offsets = tokens.buffers(pa.array(texts, pa.large_string()))
     starts, ends, first, f = features(data, offsets)
     hexes = _hexes(data, offsets)
@@ -170,7 +224,8 @@ def _labelled(texts: list[str], own: list[list[tuple[int, int]]] | None = None)
             inside = np.flatnonzero((s < y) & (e > x))
             label[inside] = I
             label[inside[:1]] = B
-        marked = np.flatnonzero(label == B)[:4].tolist()
+        marked = np.flatnonzero(label == B)
+        marked = marked[:: -(-len(marked) // WINDOWS) or 1].tolist()
         for at in [*marked, int(tokens.mix(np.array([len(text) + k], np.uint64))[0] % tokens.U(b - a))]:
             low = max(0, min(at - WINDOW // 2, b - a - WINDOW))
             high = min(b - a, low + WINDOW)
@@ -178,89 +233,149 @@ def _labelled(texts: list[str], own: list[list[tuple[int, int]]] | None = None)
             yield np.pad(f[:, a + low : a + high], ((0, 0), (0, pad))), np.pad(label[low:high], (0, pad), constant_values=-1)
 
 
-def made_up(n: int = 1500, seed: int = 5) -> tuple[list[str], list[list[tuple[int, int]]]]:
+_LOW, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_MIXED = _LOW + _LOW.upper() + _DIGIT
+LAYOUTS = ['client_key = "{}"', "auth: {}", "pwd={}", "Authorization: Bearer {}", "export KEY='{}'", "credential {} was", "key is {} .", '"private_key": "{}",', "{}", "({})", "use {} to", "{},", "id {}"]
+
+
+class Maker:
+    """Random keys and harmless look-alikes, the same for the same seed."""
+
+    def __init__(self, seed: int):
+        self.draw = random.Random(seed)
+
+    def pick(self, chars: str, low: int, high: int | None = None) -> str:
+        return "".join(self.draw.choices(chars, k=low if high is None else self.draw.randint(low, high)))
+
+    def one(self, values: list):
+        return self.draw.choice(values)
+
+    def word(self) -> str:
+        """A word that could be spoken: consonants and vowels in turn."""
+        return "".join(self.pick("bcdfghklmnprstvwz", 1) + self.pick("aeiou", 1) + (self.pick("lnrst", 1) if self.draw.random() < 0.3 else "") for _ in range(self.draw.randint(1, 4)))
+
+    def key(self) -> str:
+        """Random characters of one of several alphabets, alone or after prefixes, in groups, or in dotted parts."""
+        chars = self.one([_MIXED, _MIXED, _LOW + _LOW.upper(), _MIXED + "+/", _LOW + _DIGIT, _LOW.upper() + _DIGIT, _MIXED + "_-", "0123456789abcdef"])
+        kind = self.draw.randrange(6)
+        if kind == 0:
+            out = self.pick(_LOW, 2, 5) + self.one(["_", "-", "_" + self.pick(_LOW, 3, 5) + "_"]) + self.pick(chars, 18, 44)
+        elif kind == 1:
+            out = "-".join([self.pick(_LOW, 2, 5), *(self.pick(_DIGIT, 8, 13) for _ in range(self.draw.randint(1, 2))), self.pick(_MIXED, 16, 32)])
+        elif kind == 2:
+            out = ".".join(self.pick(_MIXED + "_-", 16, 60) for _ in range(self.draw.randint(2, 3)))
+        elif kind == 3:
+            out = self.pick(_MIXED + "+/", 20, 60) + self.one(["", "=", "=="])
+        else:
+            out = self.pick(chars, 16, 48)
+        kinds = sum(any(c in chars for c in out) for chars in (_LOW, _LOW.upper(), _DIGIT))
+        return out if kinds > 1 else out[:-2] + "7x"
+
+    def decoy(self) -> str:
+        w, d = self.word, lambda a, b=None: self.pick(_DIGIT, a, b)
+        return self.one([
+            lambda: f"https/{w()}.{w()}.com/{w()}/{d(4)}", lambda: "-".join(w() for _ in range(self.draw.randint(2, 5))), lambda: w() + w() + w(), lambda: f"+1-{d(3)}-555-{d(4)}",
+            lambda: f"{d(3)}.{d(2)}.{d(3)}.{d(2)}", lambda: f"{w()}.{w()}@{w()}.com", lambda: f"v{d(1)}.{d(2)}.{d(1)}", lambda: f"20{d(2)}-0{d(1)}-1{d(1)}T0{d(1)}.{d(2)}", lambda: (w() + w()).upper(),
+            lambda: "=" * self.draw.randint(4, 40), lambda: "-" * self.draw.randint(4, 40), lambda: "_" * self.draw.randint(4, 40), lambda: "_".join(w() for _ in range(self.draw.randint(2, 5))), lambda: "".join(w().capitalize() for _ in range(self.draw.randint(2, 4))),
+            lambda: "/".join(w() for _ in range(self.draw.randint(2, 6))) + ".py", lambda: f"IMG_20{d(6)}_{d(6)}.jpg", lambda: d(5, 20), lambda: f"{w().upper()[:3]}-{d(3, 6)}", lambda: f"{w()}{d(1, 4)}", lambda: f"{w()}/{w()}_{d(1, 3)}.{w()}", lambda: f"{w().upper()}_{w().upper()}_{d(1, 2)}",
+        ])()
+
+
+def made_up(n: int = 3000, seed: int = 5, layouts: list[str] | None = None) -> tuple[list[str], list[list[tuple[int, int]]]]:
     """Texts with random keys in many layouts, and texts with harmless look-alikes."""
-    draw = np.random.default_rng(seed)
-    pick = lambda chars, k: "".join(np.array(list(chars))[draw.integers(0, len(chars), k)])
-    low, up, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    alphabets = [low + up + digit, low + up + digit + "+/", low + digit, up + digit, low + up + digit + "_-", "0123456789abcdef"]
-    layouts = ['client_key = "{}"', "auth: {}", "pwd={}", "Authorization: Bearer {}", "export KEY='{}'", "credential {} was", "key is {} .", '"private_key": "{}",', "{}"]
-    word = lambda: pick(low, int(draw.integers(1, 11)))
+    make, layouts = Maker(seed), layouts or LAYOUTS
     texts, spans = [], []
     for _ in range(n):
-        left, right = " ".join(word() for _ in range(9)), " ".join(word() for _ in range(9))
-        if draw.random() < 0.6:
-            key = pick(alphabets[draw.integers(0, len(alphabets))], int(draw.integers(18, 49)))
-            if not (any(c in digit for c in key) and any(c not in digit for c in key)):
-                key = key[:-2] + "7x"
-            lead, _, tail = layouts[draw.integers(0, len(layouts))].partition("{}")
-            texts.append(f"{left} {lead}{key}{tail} {right}")
-            at = len(left) + 1 + len(lead)
-            spans.append([(at, at + len(key))])
-        else:
-            decoy = [f"https/{word()}.{word()}.com/{word()}/{pick(digit, 4)}", f"{word()}-{word()}-{word()}-{word()}", word() + word() + word(), f"+1-{pick(digit, 3)}-555-{pick(digit, 4)}", f"{pick(digit, 3)}.{pick(digit, 2)}.{pick(digit, 3)}.{pick(digit, 2)}", f"{word()}.{word()}@{word()}.com", f"v{pick(digit, 1)}.{pick(digit, 2)}.{pick(digit, 1)}", f"2024-0{pick(digit[1:], 1)}-1{pick(digit, 1)}", (word() + word()).upper(), "====" * 6, "----" * 7, "_" * 20, f"{word()}_{word()}_{word()}"][draw.integers(0, 13)]
-            texts.append(f"{left} {decoy} {right}")
-            spans.append([])
+        left, right = (" ".join(make.word() for _ in range(9)) for _ in range(2))
+        lead, _, tail = make.one(layouts).partition("{}")
+        key = make.draw.random() < 0.5
+        what = make.key() if key else make.decoy()
+        texts.append(f"{left} {lead}{what}{tail} {right}")
+        at = len(left) + 1 + len(lead)
+        spans.append([(at, at + len(what))] if key else [])
     return texts, spans
 
 
-def train(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 60, rate: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (3 x TABLE) and transitions (3 x 3) by gradient ascent (Adagrad) on the windows' log-likelihood."""
+def hidden(texts: list[str]) -> tuple[list[str], list[list[tuple[int, int]]]]:
+    """Around the patterns' secrets (WINDOWS of a text): their surroundings without the key word, and a made-up key in their place."""
+    out, spans = [], []
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass")
+        data = np.frombuffer(raw, np.uint8)
+        found, inner = base_spans(text, raw.translate(_LOWER), _hexes(data, np.array([0, len(data)]))[0])
+        if not found:
+            continue
+        make = Maker(int(tokens.mix(np.array([len(text)], np.uint64))[0] >> tokens.U(32)))
+        every = -(-len(found) // WINDOWS)
+        for start, _, end in found[::every]:
+            left, key = text[max(0, start - 150) : start], make.key()
+            out.append(left + key + text[end : end + 150])
+            spans.append([(len(left), len(left) + len(key))])
+    return out, spans
+
+
+def train(windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 12, rate: float = 0.2, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (3 x TABLE) and transitions (3 x 3) by gradient ascent (Adagrad) on the windows' log-likelihood, batch by batch in a fixed order."""
     w, t = np.zeros((3, TABLE), np.float32), np.zeros((3, 3))
     if not windows:
         w[O] = 1
         return w, t
-    f = np.stack([x for x, _ in windows]).transpose(1, 0, 2)  # features, windows, steps
-    y = np.stack([x for _, x in windows])
-    mask = y >= 0
-    y = np.maximum(y, 0)
-    size, sum_w, sum_t = len(y), np.full((3, TABLE), 1e-6), np.full((3, 3), 1e-6)
-    gold = np.eye(3)[y] * mask[..., None]
-    pairs = mask[:, 1:] & mask[:, :-1]
-    gold_t = np.zeros((3, 3))
-    np.add.at(gold_t, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
+    draw = np.random.default_rng(11)
+    all_f = np.stack([x for x, _ in windows]).transpose(1, 0, 2)  # features, windows, steps
+    all_y = np.stack([x for _, x in windows])
+    sum_w, sum_t = np.full((3, TABLE), 1e-6, np.float32), np.full((3, 3), 1e-6)
     soft = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
-    flat = f.reshape(len(f), -1)
     for _ in range(rounds):
-        score = np.stack([row[f].sum(axis=0) for row in w], axis=-1) * mask[..., None]
-        alpha, beta = score.astype(float), np.zeros(score.shape)
-        for k in range(1, WINDOW):
-            step = soft(alpha[:, k - 1, :, None] + t, 1) + score[:, k]
-            alpha[:, k] = np.where(mask[:, k, None], step, alpha[:, k - 1])
-        for k in reversed(range(WINDOW - 1)):
-            step = soft(t + (score[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-            beta[:, k] = np.where(mask[:, k + 1, None], step, 0)
-        total = soft(alpha[:, -1], 1)
-        gamma = np.exp(alpha + beta - total[:, None, None]) * mask[..., None]
-        edge = np.exp(alpha[:, :-1, :, None] + t + (score + beta)[:, 1:, None, :] - total[:, None, None, None]) * pairs[..., None, None]
-        slope = (gold - gamma).reshape(-1, 3)
-        for label in range(3):
-            g = sum(np.bincount(row, weights=slope[:, label], minlength=TABLE) for row in flat) / size - 1e-5 * w[label]
-            sum_w[label] += g * g
-            w[label] += (rate * g / np.sqrt(sum_w[label])).astype(np.float32)
-        g = (gold_t - edge.sum(axis=(0, 1))) / size
-        sum_t += g * g
-        t += rate * g / np.sqrt(sum_t)
+        order = draw.permutation(len(all_y))
+        for part in np.array_split(order, max(1, len(order) // batch)):
+            f, y = all_f[:, part], all_y[part]
+            mask = y >= 0
+            y, size = np.maximum(y, 0), len(part)
+            gold = np.eye(3)[y] * mask[..., None]
+            pairs = mask[:, 1:] & mask[:, :-1]
+            score = np.stack([row[f].sum(axis=0) for row in w], axis=-1) * mask[..., None]
+            alpha, beta = score.astype(float), np.zeros(score.shape)
+            for k in range(1, WINDOW):
+                step = soft(alpha[:, k - 1, :, None] + t, 1) + score[:, k]
+                alpha[:, k] = np.where(mask[:, k, None], step, alpha[:, k - 1])
+            for k in reversed(range(WINDOW - 1)):
+                step = soft(t + (score[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
+                beta[:, k] = np.where(mask[:, k + 1, None], step, 0)
+            total = soft(alpha[:, -1], 1)
+            gamma = np.exp(alpha + beta - total[:, None, None]) * mask[..., None]
+            edge = np.exp(alpha[:, :-1, :, None] + t + (score + beta)[:, 1:, None, :] - total[:, None, None, None]) * pairs[..., None, None]
+            slope, flat = (gold - gamma).reshape(-1, 3), f.reshape(len(f), -1)
+            for label in range(3):
+                g = (np.bincount(flat.reshape(-1), weights=np.tile(slope[:, label], len(f)), minlength=TABLE) / size - 1e-6 * w[label]).astype(np.float32)
+                sum_w[label] += g * g
+                w[label] += rate * g / np.sqrt(sum_w[label])
+            gold_t = np.zeros((3, 3))
+            np.add.at(gold_t, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
+            g = (gold_t - edge.sum(axis=(0, 1))) / size
+            sum_t += g * g
+            t += rate * g / np.sqrt(sum_t)
     return w, t
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Trains on the patterns' secrets in a sample of about ``sample`` rows, and on made-up windows."""
+    """Trains on the patterns' secrets in a sample of about ``sample`` distinct rows, and on made-up windows."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    every = max(1, rows.count() // sample)
+    share = min(1.0, sample / max(1, rows.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i in range(0, len(texts), 200):
-                made = list(_labelled(texts[i : i + 200]))
+                made = [*_labelled(texts[i : i + 200]), *_labelled(*hidden(texts[i : i + 200]))]
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes() for x, _ in made]), pa.array([y.astype(np.int8).tobytes() for _, y in made])], names=["f", "y"])
 
-    chosen = rows.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("text").limit(2 * sample)
-    got = chosen.mapInArrow(run, "f binary, y binary").toPandas()
+    # Rows are drawn where they are read; those that repeat share their mark.
+    mark = F.xxhash64("key", "text").bitwiseAND(F.lit((1 << 63) - 1))
+    chosen = rows.withColumn("mark", mark).where(F.col("mark").cast("double") < share * 2.0**63).dropDuplicates(["mark"]).select("text")
+    got = chosen.mapInArrow(run, "f binary, y binary").distinct().toPandas()
     order = sorted(zip(got["f"], got["y"], strict=True))  # the same sums whatever order the tasks ended in
-    windows = [(np.frombuffer(f, np.int32).reshape(-1, WINDOW).astype(np.int64), np.frombuffer(y, np.int8).astype(np.int64)) for f, y in order]
+    windows = [(np.frombuffer(f, np.int32).reshape(-1, WINDOW), np.frombuffer(y, np.int8).astype(np.int64)) for f, y in order]
     return train([*windows, *_labelled(*made_up())] if windows else [])
 
 
@@ -306,7 +421,7 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "tex
             column = batch.column(batch.schema.get_field_index(text))
             data, offsets = tokens.buffers(column)
             out: list[list[dict]] = []
-            for i, j in tokens.slices(offsets, 2 << 20):
+            for i, j in tokens.slices(offsets):
                 part, off = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, first, f = features(part, off)
                 label = tag(np.stack([sum(row[x] for x in f) for row in w], axis=-1) if len(starts) else np.zeros((0, 3)), first, t)
@@ -328,8 +443,8 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "tex
                                 joined[-1][1:] = y, token
                             else:
                                 joined.append([x, y, token])
-                        base = list(found)
-                        found += [(x, 3, y) for x, y, _ in joined if y - x >= SHORTEST and not covered(x, y, base)]
+                        base = merged(found)
+                        found += [(x, 3, y) for x, y, _ in joined if not covered(x, y, base)]
                     out.append([{"kind": KINDS[c], "start": x, "end": y} for x, c, y in sorted(found)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, spans])
 

@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -203,17 +205,79 @@ def test_secrets(spark, docs):
     assert all(not r.secret_spans for r in crf.scan(docs.where("doc_id = 1"), crf.fit(docs.limit(0))).collect())
 
 
+def planted(texts, n, seed):
+    """Texts with one key each, in formats and layouts that training doesn't make up, and the key's place."""
+    draw = random.Random(seed)
+    pick = lambda chars, k: "".join(draw.choices(chars, k=k))
+    word, digit = string.ascii_letters + string.digits, string.digits
+    formats = [
+        lambda: "ghp_" + pick(word, 36), lambda: f"xoxb-{pick(digit, 12)}-{pick(digit, 12)}-{pick(word, 24)}", lambda: f"eyJhbGciOiJIUzI1NiJ9.eyJ{pick(word, 40)}.{pick(word + '_-', 43)}", lambda: "sk_live_" + pick(word, 24),
+        lambda: "AIza" + pick(word + "_-", 35), lambda: "glpat-" + pick(word, 20), lambda: "npm_" + pick(word, 36), lambda: f"SG.{pick(word, 22)}.{pick(word, 43)}", lambda: pick(word + "/+", 40), lambda: "hf_" + pick(string.ascii_letters, 34),
+    ]
+    layouts = ["deploy with {} before noon", "<{}>", "x-auth {}", 'curl -H "X-Auth: {}" now', "config[{}]", "see {}; then", "webhook {}", "login: {} ok"]
+    for k in range(n):
+        words, key, layout = draw.choice(texts).split(" "), draw.choice(formats)(), draw.choice(layouts)
+        at = draw.randrange(len(words) + 1)
+        left = "".join(w + " " for w in words[:at])
+        start = len(left) + layout.index("{}")
+        yield k, left + layout.format(key) + " " + " ".join(words[at:]), start, start + len(key)
+
+
+def test_secrets_of_other_formats(spark):
+    """What the model adds to the patterns: keys planted in documents that it wasn't trained on."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = crf.fit(docs.where("doc_id % 2 = 0"))
+    assert all((a == b).all() for a, b in zip(model, crf.fit(docs.where("doc_id % 2 = 0").repartition(3)), strict=True))
+    texts = [r.text for r in docs.where("doc_id % 2 = 1").collect()]
+    rows = list(planted(texts, 600, 5))
+    place = {k: (a, b) for k, _, a, b in rows}
+    found = crf.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()
+    hit = sum(any(s.kind == "crf" and s.start <= place[r.doc_id][0] and s.end >= place[r.doc_id][1] for s in r.secret_spans) for r in found)
+    added = [(r.doc_id, s) for r in found for s in r.secret_spans if s.kind == "crf"]
+    right = sum(s.start < place[k][1] and s.end > place[k][0] for k, s in added)
+    assert hit > 0.9 * len(rows) and right > 0.9 * len(added)
+    plain = crf.scan(docs.where("doc_id % 2 = 1"), model).collect()
+    assert sum(s.kind == "crf" for r in plain for s in r.secret_spans) <= len(plain) // 100
+
+
+def test_gradients():
+    """A step of training against differences of the likelihood, summed over all labellings."""
+    rng = np.random.default_rng(0)
+    f, y = rng.integers(0, 5, (2, crf.WINDOW)), np.full(crf.WINDOW, -1)
+    y[:5] = [0, 1, 2, 0, 0]
+    w, t = crf.train([(f, y)], rounds=1, rate=1e-3)
+
+    def likelihood(w, t):
+        paths = np.array(np.meshgrid(*[range(3)] * 5)).reshape(5, -1).T
+        value = lambda p: sum(w[p[k], f[:, k]].sum() for k in range(5)) + sum(t[p[k], p[k + 1]] for k in range(4))
+        all_ = np.array([value(p) for p in paths])
+        return value(y[:5]) - np.log(np.exp(all_ - all_.max()).sum()) - all_.max()
+
+    zero = np.zeros((3, crf.TABLE)), np.zeros((3, 3))
+    for a in range(3):
+        for at in range(5):
+            up = zero[0].copy()
+            up[a, at] = 1e-5
+            slope = (likelihood(up, zero[1]) - likelihood(*zero)) / 1e-5
+            assert np.sign(round(slope, 3)) == np.sign(round(float(w[a, at]), 6))  # the first Adagrad step has the gradient's sign
+        for b in range(3):
+            up = zero[1].copy()
+            up[a, b] = 1e-5
+            slope = (likelihood(zero[0], up) - likelihood(*zero)) / 1e-5
+            assert np.sign(round(slope, 3)) == np.sign(round(float(t[a, b]), 6))
+
+
 def test_secrets_longer_than_a_pattern(spark):
     w = np.zeros((3, crf.TABLE), np.float32)
     w[crf.B] = 1  # every token is a span of the model
     key = "Zk9_0123456789abcdef0123-QwErTy"
-    texts = [f"é {key} end", f"é token={key} end", "é 0123456789abcdef0123 end", f"é {key} {key}", "é plain-word-of-many end"]
+    texts = [f"({key})", f": token={key}", "(0123456789abcdef0123)", f"({key}) ({key})"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = crf.scan(df, (w, np.zeros((3, 3)))).select("doc_id", "secret_spans", crf.redacted(F.col("text"), F.col("secret_spans")).alias("t")).orderBy("doc_id").collect()
     spans = [[tuple(s) for s in r.secret_spans] for r in found]
-    assert spans[0] == [("crf", 2, 33), ("hex", 6, 26)] and spans[1] == [("assign", 2, 39), ("hex", 12, 32)]
-    assert spans[2] == [("hex", 2, 22)] and spans[3] == [("crf", 2, 33), ("hex", 6, 26), ("crf", 34, 65), ("hex", 38, 58)]
-    assert [r.t for r in found] == ["é [SECRET] end", "é [SECRET] end", "é [SECRET] end", "é [SECRET] [SECRET]", "é [SECRET] end"]
+    assert spans[0] == [("crf", 1, 32), ("hex", 5, 25)] and spans[1] == [("assign", 2, 39), ("hex", 12, 32)]
+    assert spans[2] == [("hex", 1, 21)] and spans[3] == [("crf", 1, 32), ("hex", 5, 25), ("crf", 35, 66), ("hex", 39, 59)]
+    assert [r.t for r in found] == ["([SECRET])", ": [SECRET]", "([SECRET])", "([SECRET]) ([SECRET])"]
 
 
 def test_viterbi_is_exact():
