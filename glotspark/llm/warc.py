@@ -3,8 +3,10 @@
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds a Zstandard
 dictionary built from the archive's own leading records; then each record is a frame of
 its own, compressed with that dictionary. Executors write archives through Spark's text
-sink, so any file system that Spark knows will do: a row is a frame, and the line
-separator is an empty skippable frame, which readers of Zstandard pass over.
+sink, so any file system that Spark knows will do: a row is a segment of frames, and the line
+separator is an empty skippable frame, which readers of Zstandard pass over. An archive is
+full after SEGMENTS segments of SEGMENT_BYTES or a little more, and the next one begins with
+a dictionary of its own; so archives, and what a reader holds, don't grow with the table.
 
 Of records with equal payloads of at least MIN_REVISIT bytes (by SHA-256), the one with the
 smallest page_id is a response and the others revisit it. Only digests and ids are
@@ -19,6 +21,7 @@ columns are left out.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +34,10 @@ from .shared import new_path
 MIN_REVISIT = 100
 DICTIONARY_BYTES = 64 << 10
 #: A dictionary is trained on records spread over so many leading bytes of an archive.
-BUFFER_BYTES, TRAIN_BYTES = 16 << 20, 2 << 20
+BUFFER_BYTES, TRAIN_BYTES = 8 << 20, 2 << 20
 LEVEL = 3
+#: An archive's size: 64 MB, and a segment's last record beyond.
+SEGMENT_BYTES, SEGMENTS = 4 << 20, 16
 DATE = "2026-01-01T00:00:00Z"
 DICTIONARY_MAGIC = (0x184D2A5D).to_bytes(4, "little")
 #: An empty skippable frame of magic 0x184D2A50: eight ASCII characters.
@@ -95,8 +100,8 @@ def _dictionary(plain: list[bytes]) -> bytes:
         return b""
 
 
-def archive_frames(plain: Iterator[bytes], level: int = LEVEL) -> Iterator[bytes]:
-    """The frames of one archive: dictionary first, then one for each record."""
+def opened(plain: Iterator[bytes], level: int = LEVEL) -> tuple[bytes, zstandard.ZstdCompressor, Iterator[bytes]] | None:
+    """A new archive's first frame, which holds the dictionary, its compressor, and all of ``plain``; None without records."""
     first: list[bytes] = []
     held = 0
     for x in plain:
@@ -105,15 +110,18 @@ def archive_frames(plain: Iterator[bytes], level: int = LEVEL) -> Iterator[bytes
         if held >= BUFFER_BYTES:
             break
     if not first:
-        return
+        return None
     own = _dictionary(first)
-    yield DICTIONARY_MAGIC + len(own).to_bytes(4, "little") + own
     packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(own) if own else None, write_content_size=True)
-    for x in first:
-        yield packer.compress(x)
-    first.clear()
-    for x in plain:
-        yield packer.compress(x)
+    return DICTIONARY_MAGIC + len(own).to_bytes(4, "little") + own, packer, itertools.chain(first, plain)
+
+
+def archive_frames(plain: Iterator[bytes], level: int = LEVEL) -> Iterator[bytes]:
+    """The frames of one archive: dictionary first, then one for each record."""
+    made = opened(plain, level)
+    if made:
+        yield made[0]
+        yield from map(made[1].compress, made[2])
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -146,8 +154,26 @@ def archived(data: bytes) -> Iterator[bytes]:
         at = end
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
-    """An archive in ``path`` for each partition of the records."""
+def archive_rows(plain: Iterator[bytes], segment_bytes: int = SEGMENT_BYTES, segments: int = SEGMENTS) -> Iterator[bytes]:
+    """Archives one after the other, each as 1 + ``segments`` rows (the last one as fewer): its dictionary, then segments of frames."""
+    while made := opened(plain):
+        head, packer, plain = made
+        yield head
+        done, held, size = 0, [], 0
+        for x in plain:
+            held.append(packer.compress(x))
+            size += len(held[-1])
+            if size >= segment_bytes:
+                yield SEPARATOR.encode().join(held)
+                done, held, size = done + 1, [], 0
+                if done == segments:
+                    break
+        if held:
+            yield SEPARATOR.encode().join(held)
+
+
+def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segment_bytes: int = SEGMENT_BYTES, segments: int = SEGMENTS) -> None:
+    """Archives of the records in ``path``, named ``*.warc.zst``: one or more from each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def plain() -> Iterator[bytes]:
@@ -155,19 +181,22 @@ def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
                 for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     yield encode(page_id, url, html.encode(), digest, refers_to)
 
-        out: list[bytes] = []
-        held = 0
-        for frame in archive_frames(plain()):
-            out.append(frame)
-            held += len(frame)
-            if held >= 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-
-    frames = records(pages, min_revisit).mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+        for row in archive_rows(plain(), segment_bytes, segments):
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["frames"])
+
+    frames = records(pages, min_revisit).mapInArrow(run, "frames binary")
+    frames.select(F.col("frames").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1 + segments).text(path)
+    _rename(pages.sparkSession, path)
+
+
+def _rename(spark: SparkSession, path: str) -> None:
+    """Gives the archives their extension: as many calls to the file system as there are archives."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in files.listStatus(folder):
+        name = f.getPath().getName()
+        if name.endswith(".txt"):
+            files.rename(f.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.zst"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
