@@ -7,9 +7,11 @@ the source's documents, ordered by size class, one random offset a source is add
 copy is emitted at each integer boundary that the sum crosses. As the order is by size,
 each source's words come near its target too; no document has over ``limit`` copies.
 
-The prefix sum is two-level, so that no task holds a source: documents are counted by
-(source, size class, split), the counts' prefix sums give each such chunk its first rank,
-and ranks within a chunk are a window over the chunk alone.
+The prefix sum is two-level, so that no task holds a source: each size class of a source is
+split by a hash of id and text into as many chunks as its count asks for (of about
+CHUNK_ROWS documents), the chunks' counts give each chunk its first rank by their prefix
+sums, and ranks within a chunk are a window over the chunk alone. Only the sources
+themselves (a row each) meet in one task.
 
 Defined results: null text has size 0; the null source is a source of its own, ordered
 last; sources of size 0 have target 0 and documents of size 0 follow their source's rate;
@@ -27,7 +29,7 @@ from .shared import saved
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
-SPLITS = 64
+CHUNK_ROWS = 1 << 17
 SEED = 17
 
 
@@ -58,18 +60,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return leveled.select("source", "source_size", F.when(free.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * free)).alias("target"))
 
 
-def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, splits: int = SPLITS, seed: int = SEED) -> DataFrame:
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, chunk_rows: int = CHUNK_ROWS, seed: int = SEED) -> DataFrame:
     """A row for each row of ``docs``: doc_id, source, size, source_size, target and copies."""
     width = F.greatest(F.length(F.bin("size")) - 4, F.lit(0))
-    sized = saved(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size")), "mix-sizes")
+    id_, body = F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))
+    mark = F.conv(F.substring(F.md5(F.concat(id_, F.lit(":"), F.md5(body))), 1, 15), 16, 10).cast("long")
+    sized = saved(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), mark.alias("mark")), "mix-sizes")
     class_ = (width * 16 + F.call_function("shiftright", F.col("size"), width)).cast("int")
-    sized = sized.withColumn("class", class_).withColumn("split", F.coalesce(F.pmod("doc_id", F.lit(splits)), F.lit(0)).cast("int"))
+    sized = sized.withColumn("class", class_)
+    parts = sized.groupBy("source", "class").agg(F.ceil(F.count("*") / chunk_rows).alias("parts"))
+    sized = sized.alias("d").join(parts.alias("p"), F.expr("d.source <=> p.source AND d.class = p.class")).select("d.*", F.pmod("mark", "parts").alias("split"))
     chunks = sized.groupBy("source", "class", "split").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     sums = targets(chunks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
     before = Window.partitionBy("source").orderBy("class", "split").rowsBetween(Window.unboundedPreceding, -1)
     starts = chunks.select("source", "class", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     starts = starts.alias("c").join(sums.alias("s"), F.expr("c.source <=> s.source")).select("c.source", "c.class", "c.split", "before", "source_size", "target")
-    within = Window.partitionBy("source", "class", "split").orderBy("size", "doc_id")
+    within = Window.partitionBy("source", "class", "split").orderBy("size", "doc_id", "mark")
     ranked = sized.withColumn("rank", F.row_number().over(within))
     joined = ranked.alias("d").join(starts.alias("p"), F.expr("d.source <=> p.source AND d.class = p.class AND d.split = p.split"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -94,7 +100,8 @@ def result(planned: DataFrame) -> DataFrame:
 
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {{docs}}),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS mark FROM {{docs}}),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 ranked AS (
   SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, {LIMIT}.0::DOUBLE * source_size AS cap FROM sums),
@@ -106,11 +113,12 @@ targets AS (
   SELECT source, source_size, CASE WHEN free IS NULL THEN cap ELSE least(cap, weight * free) END AS target,
     CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(source, chr(0))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u
   FROM leveled, (SELECT max(level) AS free FROM leveled WHERE cap >= weight * level)),
+classed AS (SELECT *, greatest(length(bin(size)) - 4, 0) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS class FROM sized),
+split AS (SELECT *, mark % CAST(ceil(count(*) OVER (PARTITION BY source, class) / {{chunk}}.0) AS BIGINT) AS split FROM classed),
 placed AS (
   SELECT d.doc_id, d.size, t.*, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY greatest(length(bin(d.size)) - 4, 0) * 16 + (d.size >> greatest(length(bin(d.size)) - 4, 0)),
-      coalesce(((d.doc_id % {SPLITS}) + {SPLITS}) % {SPLITS}, 0), d.size, d.doc_id NULLS FIRST) AS place
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+    row_number() OVER (PARTITION BY d.source ORDER BY d.class, d.split, d.size, d.doc_id NULLS FIRST, d.mark) AS place
+  FROM split d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 counted AS (SELECT *, CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS INTEGER) AS copies FROM placed)
 """
-SQL = ORACLE.format(docs="documents") + "SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted"
+SQL = ORACLE.format(docs="documents", chunk=CHUNK_ROWS) + "SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted"

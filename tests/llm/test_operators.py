@@ -51,6 +51,19 @@ def test_mixing(spark, docs):
     assert mixing.plan(docs.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("chunk", [2, 3, 1000])
+def test_mixing_in_chunks(spark, docs, chunk):
+    import duckdb
+
+    more = docs.union(docs.where("doc_id = 8")).withColumn("copies", F.lit("clash")).withColumn("size", F.lit(-1))
+    got = mixing.result(mixing.plan(more, chunk_rows=chunk)).collect()
+    con = duckdb.connect()
+    con.register("d", more.toArrow())
+    want = con.execute(mixing.ORACLE.format(docs="d", chunk=chunk) + "SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted").fetchall()
+    plain = lambda rows: sorted((r[0] is None, r[0] or 0, r[1], r[2], round(r[3], 6), r[4], r[5]) for r in rows)
+    assert plain(got) == plain(want)
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 400)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
@@ -72,6 +85,26 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_archives_roll(spark, tmp_path):
+    rnd = random.Random(1)
+    rows = [(i, "http://a", "".join(rnd.choices(string.ascii_letters, k=2000)) + "<p>common " * 20) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).coalesce(1)
+    size, warc.BUFFER_BYTES = warc.BUFFER_BYTES, 20_000
+    try:  # rows of one archive: its dictionary and three segments
+        made = list(warc.archive_rows((warc.encode(i, u, h.encode(), hashlib.sha256(h.encode()).hexdigest(), None) for i, u, h in rows), 16_000, 3))
+    finally:
+        warc.BUFFER_BYTES = size
+    heads = [k for k, x in enumerate(made) if x[:4] == warc.DICTIONARY_MAGIC]
+    assert len(heads) > 3 and all(b - a == 4 for a, b in zip(heads, heads[1:])) and all(16_000 <= len(x) < 20_000 for x in made[:-1] if x[:4] != warc.DICTIONARY_MAGIC)
+    again = [warc.decode(x) for a, b in zip(heads, [*heads[1:], len(made)]) for x in warc.archived(warc.SEPARATOR.encode().join(made[a:b]))]
+    assert [(r[0], r[2].decode()) for r in again] == [(i, h) for i, _, h in rows]
+    long = df.withColumn("html", F.concat(*[F.concat("html", F.lit(str(k))) for k in range(30)]))  # more than a dictionary is made from
+    warc.write(long, str(tmp_path / "w"), segment_bytes=100_000, segments=1)
+    files = sorted(p.name for p in (tmp_path / "w").iterdir() if not p.name.startswith((".", "_")))
+    assert len(files) > 1 and all(f.endswith(".warc.zst") for f in files)
+    assert {(r.page_id, r.payload.decode()) for r in warc.read(spark, str(tmp_path / "w")).select("page_id", "payload").collect()} == {(r.page_id, r.html) for r in long.collect()}
+
+
 def test_archive_is_standard():
     import zstandard
 
