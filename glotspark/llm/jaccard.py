@@ -146,32 +146,36 @@ def described(docs: DataFrame, width: int, salt: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, n long, k1 long, k2 long, sketch binary")
 
 
-def picked(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc, text, held) of at least the documents ``chosen`` (doc): ``held`` says which rows to look at."""
-    n = chosen.count()
-    if n > PICKED:
-        return docs.join(chosen, "doc", "left_semi").select("doc", "text", F.lit(True).alias("held"))
-    bits = 1 << min(28, max(20, (16 * n).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    parts = chosen.select((place(F.col("doc")) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for r in parts:
-        own = np.frombuffer(r.bits, np.uint8)
-        bitmap[(r.bucket - 1) * 4096 :][: len(own)] = own
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(2).to_numpy()
-            found = batch.filter(pa.array((shared.value[p >> 3] >> (p & 7) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), pa.array(np.ones(found.num_rows, bool))], names=["doc", "text", "held"])
-
-    return docs.select("doc", "text", place(F.col("doc")).alias("p")).mapInArrow(run, "doc long, text string, held boolean")
-
-
-def prefixes(docs: DataFrame, width: int, percent: int, salt: int, order: np.ndarray) -> DataFrame:
+class Picked:
+    """``rows`` (text, p) of at least the documents ``chosen`` (doc); ``mask`` says of a batch which rows to look at."""
+
+    def __init__(self, docs: DataFrame, chosen: DataFrame):
+        n = chosen.count()
+        self.shared = None
+        if n > PICKED:
+            self.rows = docs.join(chosen, "doc", "left_semi").select("text", F.lit(0).cast("long").alias("p"))
+            return
+        bits = 1 << min(28, max(20, (16 * n).bit_length()))
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+        parts = chosen.select((place(F.col("doc")) + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for r in parts:
+            own = np.frombuffer(r.bits, np.uint8)
+            bitmap[(r.bucket - 1) * 4096 :][: len(own)] = own
+        self.shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+        self.rows = docs.select("text", place(F.col("doc")).alias("p"))
+
+    @staticmethod
+    def mask(shared, batch: pa.RecordBatch) -> np.ndarray | None:
+        if shared is None:
+            return None
+        p = batch.column(1).to_numpy()
+        return (shared.value[p >> 3] >> (p & 7) & 1).astype(bool)
+
+
+def prefixes(chosen: Picked, width: int, percent: int, salt: int, order: np.ndarray) -> DataFrame:
     """For each document (each class of equal sets once a batch) its set's key, the set's size, and its prefix in the shared order, each shingle with the one before it."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order, kind="stable")))
+    shared, wanted = chosen.rows.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order, kind="stable"))), chosen.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, place = shared.value
@@ -184,7 +188,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, salt: int, order: np.nda
 
         for batch in batches:
             node, n, kept, size, met = [], [], [], 0, set()
-            for _, s in _sets(batch, width):
+            for _, s in _sets(batch, width, Picked.mask(wanted, batch)):
                 key = keys(s, salt)[0] if len(s) else None
                 if key is None or key in met:
                     continue
@@ -203,7 +207,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, salt: int, order: np.nda
             if node:
                 yield row(node, n, kept)
 
-    return docs.select("text").mapInArrow(run, "node long, n int, prefix array<struct<s:long,prev:long>>")
+    return chosen.rows.mapInArrow(run, "node long, n int, prefix array<struct<s:long,prev:long>>")
 
 
 def _can(percent: int) -> str:
@@ -212,13 +216,14 @@ def _can(percent: int) -> str:
     return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {need}"
 
 
-def _sets_of(docs: DataFrame, chosen: DataFrame, width: int, salt: int) -> DataFrame:
-    """(node, set) of the classes of at least the documents ``chosen`` (doc)."""
+def _sets_of(chosen: Picked, width: int, salt: int) -> DataFrame:
+    """(node, set) of the classes of at least the chosen documents."""
+    wanted = chosen.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sets, size, met = [], [], 0, set()
-            for _, s in _sets(batch, width):
+            for _, s in _sets(batch, width, Picked.mask(wanted, batch)):
                 key = keys(s, salt)[0] if len(s) else None
                 if key is None or key in met:
                     continue
@@ -232,7 +237,7 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, width: int, salt: int) -> DataF
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return picked(docs, chosen).select("text").mapInArrow(run, "node long, set array<long>")
+    return chosen.rows.mapInArrow(run, "node long, set array<long>")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +257,7 @@ def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     """(a, b, o, linked) of those of ``pairs`` (a, b) that sketches don't rule out: how many shingles they share, counted exactly."""
     pairs = saved(_possible(pairs, classes, percent), "jaccard-possible")
     chosen = pairs.selectExpr("explode(array(a, b)) AS k1").distinct().join(classes.select("k1", "doc"), "k1").select("doc")
-    sets = saved(_sets_of(docs, chosen, width, salt), "jaccard-verify")
+    sets = saved(_sets_of(Picked(docs, chosen), width, salt), "jaccard-verify")
     both = F.size(F.array_intersect("set_a", "set_b"))
     rows = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", both.alias("o"), (F.size("set_a") + F.size("set_b")).alias("n"))
     return saved(rows.select("a", "b", "o", F.expr(f"{100 + percent} * o >= {percent} * n").alias("linked")).distinct(), "jaccard-links")
@@ -270,12 +275,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             break
         salt += 1
     docs = docs.where("doc IS NOT NULL")
-    indexed = prefixes(picked(docs, classes.select("doc").distinct()), width, percent, salt, common(docs, width))
+    indexed = prefixes(Picked(docs, classes.select("doc").distinct()), width, percent, salt, common(docs, width))
     entries = indexed.select("node", "n", F.posexplode("prefix").alias("pos", "at")).select("node", "n", "pos", "at.s", "at.prev")
-    entries = saved(entries.repartition("s").dropDuplicates(["s", "node"]), "jaccard-entries")
-    # The pivot is the entry with the fewest rarer shingles before it: of near copies, the least edited.
-    held = entries.groupBy("s").agg(F.count("*").alias("held"), F.min(F.struct("pos", F.xxhash64("node").alias("h"), "node", "n")).alias("pivot")).where("held > 1")
-    lists = saved(entries.join(held.select("s", "held", "pivot.node", "pivot.n", "pivot.pos").toDF("s", "held", "p_node", "p_n", "p_pos"), "s"), "jaccard-lists")
+    entries = entries.repartition("s").dropDuplicates(["s", "node"])
+    # The pivot is the entry with the fewest rarer shingles before it: of near copies, the least edited. Ties go by a hash.
+    entries = entries.withColumn("rank", F.shiftleft(F.col("pos").cast("long"), 32) + F.xxhash64("node").bitwiseAND(F.lit((1 << 32) - 1)))
+    held = entries.groupBy("s").agg(F.count("*").alias("held"), F.min_by("node", "rank").alias("p_node"), F.min_by("n", "rank").alias("p_n"), F.shiftright(F.min("rank"), 32).cast("int").alias("p_pos")).where("held > 1")
+    lists = saved(entries.drop("rank").join(held, "s"), "jaccard-lists")
     star = lists.selectExpr("struct(node, n, pos) AS x", "struct(p_node AS node, p_n AS n, p_pos AS pos) AS y").where(f"x.node <> y.node AND {_can(percent)}")
     first = saved(star.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct(), "jaccard-pairs")
     overlaps = _overlaps(first, docs, classes, width, percent, salt)
