@@ -1,12 +1,15 @@
 """Quality classifier by co-training of two views of a document.
 
-The text view is a logistic regression over hashed words (each counted once); the metadata
-view one over source, language, and the page's measures (lengths, lines, shares of digits,
-capitals, marks, repeated words). Over ROUNDS, each view labels the pool's documents that it
-is surest of, as many of each class as that class's share allows, and hands them to the
-other view's training set, on which that view's training goes on. Each view is then calibrated (Platt scaling) on labelled
-documents that neither was trained on, and a logistic regression over the two calibrated
-views gives the score of every document.
+The text view is a logistic regression over hashed words (each counted once) and sees nothing
+else; the metadata view, one over source, language and the page's layout (lengths, lines, links,
+addresses, shares of digits, capitals, marks, repeated words), sees no word. Over ROUNDS, each
+view labels the pool's documents that it is surest of, as many of each class as that class's
+share allows, and hands them to the other view's training set, on which that view's training
+goes on. A view hands over only what lies beyond a cut (``Model.cuts``) at which it has proved
+better than chance on labelled documents kept for calibration: a view that can't tell the
+classes apart teaches the other nothing. Each view is then calibrated (Platt scaling) on these
+documents, and a logistic regression over the two calibrated views gives the score of every
+document.
 
 Models are fitted on the driver to at most about LABELLED labelled and POOL unlabelled
 documents, chosen by a hash of their ids; weights (2 MB) are broadcast and all documents
@@ -34,12 +37,25 @@ LABELLED, POOL, ROUNDS = 6000, 6000, 5
 #: Steps of training on the labelled documents, and on the larger set of each later round.
 FIRST_STEPS, STEPS = 100, 40
 WORDS, SOURCES = 1 << 18, 256
+#: What a view hands over has at most this share of the errors that chance would make.
+LESS = 0.6
+#: Weight decay of the text view (many words, few of them telling) and of the metadata view.
+KEEP = (1e-4, 1e-5)
 #: Words in fewer documents of the sample than this have no weight: they are too rare to tell anything.
 RAREST = 5
-MEASURES = 12
+MEASURES = 14
 META = MEASURES + 2 * SOURCES
 
 
+def _starts(data: np.ndarray, word: bytes) -> np.ndarray:
+    """Where ``word`` stands."""
+    found = np.zeros(len(data), bool)
+    n = len(data) - len(word) + 1
+    if n > 0:
+        found[:n] = np.logical_and.reduce([data[k : k + n] == c for k, c in enumerate(word)])
+    return found
+
+
 def views(text: pa.Array, source: pa.Array, lang: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each row: hashed distinct words, and metadata as (position, value) pairs in one dense vector."""
     data, offsets = tokens.buffers(text)
@@ -56,12 +72,13 @@ def views(text: pa.Array, source: pa.Array, lang: pa.Array) -> Iterator[tuple[np
         size = np.maximum(1, np.diff(off))
         digit, upper, line = total((part >= 48) & (part < 58)), total((part >= 65) & (part < 91)), total(part == 10)
         mark = total(((part > 32) & (part < 48)) | ((part > 57) & (part < 65)) | ((part > 90) & (part < 97)) | ((part > 122) & (part < 127)))
+        link, address = total(_starts(part, b"http")), total(part == 64)
         wide, odd, bar = total(part > 127), total((part == 35) | (part == 36) | (part == 37) | (part == 38) | (part == 42)), total(part == 124)
         n = np.diff(first)
         for k in range(j - i):
             own = np.unique(ids[first[k] : first[k + 1]])
             meta = np.zeros(META, np.float32)
-            meta[:MEASURES] = 1, np.log1p(size[k]) / 5, np.log1p(n[k]) / 5, np.log1p(line[k]) / 3, 10 * digit[k] / size[k], 5 * upper[k] / size[k], 5 * mark[k] / size[k], wide[k] / size[k], 10 * odd[k] / size[k], 10 * bar[k] / size[k], len(own) / max(1, n[k]), min(4.0, size[k] / max(1, n[k]) / 6)
+            meta[:MEASURES] = 1, np.log1p(size[k]) / 5, np.log1p(n[k]) / 5, np.log1p(line[k]) / 3, 10 * digit[k] / size[k], 5 * upper[k] / size[k], 5 * mark[k] / size[k], wide[k] / size[k], 10 * odd[k] / size[k], 10 * bar[k] / size[k], len(own) / max(1, n[k]), min(4.0, size[k] / max(1, n[k]) / 6), np.log1p(link[k]), np.log1p(address[k])
             meta[named[0][i + k]] = meta[named[1][i + k]] = 1
             yield own, meta
 
@@ -142,18 +159,19 @@ class Model:
             for v in range(2):
                 part, used = x[v].part(own[v] >= 0)
                 used = np.append(used, x[v].size)
-                self.w[v][used] = logistic(part, own[v][own[v] >= 0], np.ones(part.n), steps=STEPS if turn else FIRST_STEPS, start=self.w[v][used])
+                self.w[v][used] = logistic(part, own[v][own[v] >= 0], np.ones(part.n), steps=STEPS if turn else FIRST_STEPS, keep=KEEP[v], start=self.w[v][used])
             if turn == rounds or not pool.any():
                 break
             new = [o.copy() for o in own]
             for v in range(2):
                 p = self.view(v, x[v])
+                low, high = self.cuts(p[known & (fold == 2)], label[known & (fold == 2)])
                 open_ = np.flatnonzero(pool & (own[1 - v] < 0))
                 most = max(1, int(0.1 * pool.sum()))
                 order = open_[np.argsort(-p[open_], kind="stable")]
                 yes, no = order[: int(round(most * self.share))], order[::-1][: int(round(most * (1 - self.share)))]
-                new[1 - v][yes[p[yes] > 1]] = 1  # odds of e to 1, at least
-                new[1 - v][no[p[no] < -1]] = 0
+                new[1 - v][yes[p[yes] > max(1.0, high)]] = 1  # odds of e to 1, at least
+                new[1 - v][no[p[no] < min(-1.0, low)]] = 0
             own = new
         held = np.flatnonzero(known & (fold == 2))
         self.scale, calibrated = [], []
@@ -164,6 +182,16 @@ class Model:
             calibrated.append(p * a[0] / 4 + a[1])
         self.combined = logistic(Dense(np.stack(calibrated, axis=1)), label[held], np.ones(len(held)), steps=300)
 
+    def cuts(self, p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        """Where a view's word can be relied on: the highest score under which, and the lowest over which, its errors on labelled
+        documents that it wasn't trained on are at most LESS of what they would be by chance; infinite where there is none."""
+        order = np.argsort(p, kind="stable")
+        n = np.arange(1, len(p) + 1)
+        wrong_low, wrong_high = np.cumsum(y[order] == 1), np.cumsum(y[order[::-1]] == 0)
+        low = np.flatnonzero((n >= 20) & ((wrong_low + 1) / (n + 2) <= LESS * self.share))
+        high = np.flatnonzero((n >= 20) & ((wrong_high + 1) / (n + 2) <= LESS * (1 - self.share)))
+        return (float(p[order[low[-1]]]) if len(low) else -np.inf), (float(p[order[::-1][high[-1]]]) if len(high) else np.inf)
+
     def view(self, v: int, x: Sparse | Dense) -> np.ndarray:
         return x.times(self.w[v][:-1]) + self.w[v][-1]
 
