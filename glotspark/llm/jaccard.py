@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
-from .shared import saved
+from .shared import Scratch, saved
 
 #: A shingle is common when this share of the documents holds it; at most COMMON_MOST are told apart.
 COMMON_SHARE, COMMON_MOST = 1 / 500, 1 << 17
@@ -255,17 +255,21 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _overlaps(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, salt: int) -> DataFrame:
     """(a, b, o, linked) of those of ``pairs`` (a, b) that sketches don't rule out: how many shingles they share, counted exactly."""
-    pairs = saved(_possible(pairs, classes, percent), "jaccard-possible")
+    scratch = Scratch(docs.sparkSession)
+    pairs = scratch.saved(_possible(pairs, classes, percent), "jaccard-possible")
     chosen = pairs.selectExpr("explode(array(a, b)) AS k1").distinct().join(classes.select("k1", "doc"), "k1").select("doc")
-    sets = saved(_sets_of(Picked(docs, chosen), width, salt), "jaccard-verify")
+    sets = scratch.saved(_sets_of(Picked(docs, chosen), width, salt), "jaccard-verify")
     both = F.size(F.array_intersect("set_a", "set_b"))
     rows = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", both.alias("o"), (F.size("set_a") + F.size("set_b")).alias("n"))
-    return saved(rows.select("a", "b", "o", F.expr(f"{100 + percent} * o >= {percent} * n").alias("linked")).distinct(), "jaccard-links")
+    out = saved(rows.select("a", "b", "o", F.expr(f"{100 + percent} * o >= {percent} * n").alias("linked")).distinct(), "jaccard-links")
+    scratch.remove()
+    return out
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of ``docs``."""
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    scratch = Scratch(docs.sparkSession)
     salt = 0
     while True:  # until no two sets share the first key
         rows = saved(described(docs, width, salt), "jaccard-rows")
@@ -281,7 +285,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     # The pivot is the entry with the fewest rarer shingles before it: of near copies, the least edited. Ties go by a hash.
     entries = entries.withColumn("rank", F.shiftleft(F.col("pos").cast("long"), 32) + F.xxhash64("node").bitwiseAND(F.lit((1 << 32) - 1)))
     held = entries.groupBy("s").agg(F.count("*").alias("held"), F.min_by("node", "rank").alias("p_node"), F.min_by("n", "rank").alias("p_n"), F.shiftright(F.min("rank"), 32).cast("int").alias("p_pos")).where("held > 1")
-    lists = saved(entries.drop("rank").join(held, "s"), "jaccard-lists")
+    lists = scratch.saved(entries.drop("rank").join(held, "s"), "jaccard-lists")
     star = lists.selectExpr("struct(node, n, pos) AS x", "struct(p_node AS node, p_n AS n, p_pos AS pos) AS y").where(f"x.node <> y.node AND {_can(percent)}")
     first = saved(star.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct(), "jaccard-pairs")
     overlaps = _overlaps(first, docs, classes, width, percent, salt)
@@ -291,14 +295,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     known = saved(components(links.union(own)), "jaccard-components")
     # What the pivots left open: entries of one list (of three or more) in different components.
     placed = lists.where("held > 2").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = saved(placed.select("s", "prev", "node", "n", "pos", "p_node", "component"), "jaccard-placed")
+    placed = scratch.saved(placed.select("s", "prev", "node", "n", "pos", "p_node", "component"), "jaccard-placed")
     mixed = placed.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("s")
     # With the pivot's answers: how many shingles an entry shares with it, where that was counted.
     answers = overlaps.select(F.col("a").alias("node"), F.col("b").alias("p_node"), "o").union(overlaps.select("b", "a", "o"))
     told = placed.join(mixed, "s", "left_semi").join(answers, ["node", "p_node"], "left").withColumn("o", F.when(F.col("node") == F.col("p_node"), F.col("n")).otherwise(F.col("o")))
     step = math.log(100 / percent) / 4
     class_ = lambda n: F.floor(F.log(n.cast("double")) / step)
-    blocked = saved(told.withColumn("block", class_(F.col("n"))), "jaccard-blocks")
+    blocked = scratch.saved(told.withColumn("block", class_(F.col("n"))), "jaccard-blocks")
     # y meets blocks of its own size class and below, down to the smallest partner that could link, and up to the largest that its position allows.
     smallest = F.ceil(F.col("n") * percent / 100)
     largest = F.least(F.col("n"), F.floor((100 + percent) * (F.col("n") - F.col("pos")) / percent) - F.col("n"))
@@ -315,6 +319,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         known = saved(components(more.union(known.toDF("a", "b"))), "jaccard-components")
     named = classes.join(known, F.col("k1") == F.col("node"), "left").select("k1", "doc", F.coalesce("component", "k1").alias("component"))
     named = saved(named, "jaccard-named")
+    scratch.remove()
     smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     member = named.join(smallest, "component").select("k1", "component_id")
     out = rows.alias("r").join(member.alias("c"), F.expr("r.k1 = c.k1 AND r.n > 0 AND r.doc IS NOT NULL"), "left")
