@@ -284,7 +284,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     entries = entries.repartition("s").dropDuplicates(["s", "node"])
     # The pivot is the entry with the fewest rarer shingles before it: of near copies, the least edited. Ties go by a hash.
     entries = entries.withColumn("rank", F.shiftleft(F.col("pos").cast("long"), 32) + F.xxhash64("node").bitwiseAND(F.lit((1 << 32) - 1)))
-    held = entries.groupBy("s").agg(F.count("*").alias("held"), F.min_by("node", "rank").alias("p_node"), F.min_by("n", "rank").alias("p_n"), F.shiftright(F.min("rank"), 32).cast("int").alias("p_pos")).where("held > 1")
+    # Both sides of the join read one exchange, so both ask for the same columns.
+    held = entries.groupBy("s").agg(F.max("prev").alias("p_prev"), F.count("*").alias("held"), F.min_by("node", "rank").alias("p_node"), F.min_by("n", "rank").alias("p_n"), F.shiftright(F.min("rank"), 32).cast("int").alias("p_pos")).where("held > 1")
     lists = scratch.saved(entries.drop("rank").join(held, "s"), "jaccard-lists")
     star = lists.selectExpr("struct(node, n, pos) AS x", "struct(p_node AS node, p_n AS n, p_pos AS pos) AS y").where(f"x.node <> y.node AND {_can(percent)}")
     first = saved(star.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct(), "jaccard-pairs")
