@@ -19,17 +19,17 @@ _RATIO = 0x9E3779B97F4A7C13  # 3 modulo 8
 _INVERSE = pow(_RATIO, -1, 1 << 64)
 
 
-def _return_freed_memory() -> None:
-    """Has freed arrays go back to the system at once: Python workers live on from stage to stage beside a full heap."""
+def _trimmer():
+    """glibc's ``malloc_trim``; elsewhere nothing."""
     try:
-        for option, value in ((-3, 1 << 18), (-1, 1 << 20)):  # M_MMAP_THRESHOLD and M_TRIM_THRESHOLD of glibc
-            ctypes.CDLL(None).mallopt(option, value)
-        pa.set_memory_pool(pa.system_memory_pool())
-    except (AttributeError, OSError):  # another C library
-        return
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+    pa.set_memory_pool(pa.system_memory_pool())
+    return trim
 
 
-_return_freed_memory()
+_TRIM = _trimmer()
 
 
 def _class(delimiters: list[tuple[int, int]]) -> np.ndarray:
@@ -71,7 +71,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null is an empty text."""
+    """Bytes and offsets of a string column; a null is an empty text.
+
+    What the batch before left free goes back to the system: Python workers live on from stage to stage beside a full heap.
+    """
+    _TRIM(0)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:

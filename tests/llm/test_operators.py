@@ -404,3 +404,87 @@ def test_language(spark, docs):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (4, 5, 10))
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
     assert langid.predict(docs.limit(0), model).isEmpty()
+
+
+def test_language_against_counts(spark):
+    """Every prediction against a naive Bayes that counts letters with their neighbours, not hashed; and accuracy on documents held out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("doc_id < 400").cache()
+    train = docs.where("doc_id % 4 <> 2")
+
+    def letters(text):
+        c = [" ", *((x.lower() if len(x.lower()) == 1 else x) if x.isalpha() else " " for x in text or ""), " "]
+        return collections.Counter(f for a, b, d in zip(c, c[1:], c[2:], strict=False) if b != " " for f in (b, a + b, a + b + d))
+
+    seen, n = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in train.collect():
+        if r.text is not None and r.lang is not None:
+            seen[r.lang].update(letters(r.text))
+            n[r.lang] += 1
+    total = {k: sum(c.values()) + langid.FEATURES / 2 for k, c in seen.items()}
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(train)).collect()}
+    right = agreed = 0
+    for i, r in got.items():
+        found = letters(r.text)
+        sums = {k: math.log(n[k] / sum(n.values())) + sum(m * math.log((c[f] + 0.5) / total[k]) for f, m in found.items()) for k, c in seen.items()}
+        agreed += r.lang_pred == (max(sorted(sums), key=sums.get) if found else "und")
+        right += i % 4 == 2 and r.lang_pred == r.lang
+        assert 0 <= r.score <= 1
+    assert agreed >= 0.995 * len(got)  # hashing lets some features share a cell
+    assert right >= 0.97 * sum(i % 4 == 2 for i in got)
+
+
+def test_letters_of_all_planes(spark):
+    df = spark.createDataFrame([(1, chr(0x32010) * 3, "xx"), (2, "abc", "en"), (3, chr(0x1F600), "en")], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df, langid.fit(df)).collect()} == {1: "xx", 2: "en", 3: "und"}
+
+
+def test_quality_held_out(spark):
+    """Area under the curve on labelled documents that the fit didn't see; and the model's scores worked out plainly."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "source", "lang").cache()
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").cache()
+    models = dict(zip(("", "toxic_"), cotrain.fit(docs.join(labels.where("doc_id % 5 = 0").select("doc_id"), "doc_id", "left_anti"), labels.where("doc_id % 5 > 0"), ["quality", "toxic"]), strict=True))
+    rows = cotrain.predict(docs.join(labels.where("doc_id % 5 = 0"), "doc_id"), models).collect()
+
+    def area(label, score):
+        high, low = (np.array([r[score] for r in rows if r[label] == x]) for x in (1, 0))
+        return (high[:, None] > low).mean() + 0.5 * (high[:, None] == low).mean()
+
+    assert area("quality", "score") > 0.97 and area("toxic", "toxic_score") > 0.85  # some labels of toxic are noise
+    for r in rows[:50]:
+        ((words, meta),) = cotrain.views(*(__import__("pyarrow").array([x], __import__("pyarrow").string()) for x in (r.text, r.source, r.lang)))
+        for prefix, m in models.items():
+            text = sum(m.w[0][a] for a in words) / math.sqrt(max(1, len(words))) + m.w[0][-1]
+            page = float(meta.astype(float) @ m.w[1][:-1]) + m.w[1][-1]
+            z = [text * m.scale[0][0] + m.scale[0][1], page * m.scale[1][0] + m.scale[1][1]]
+            both = z[0] * m.combined[0] + z[1] * m.combined[1] + m.combined[2]
+            assert [r[f"{prefix}{n}score"] for n in ("text_", "meta_", "")] == pytest.approx([1 / (1 + math.exp(-max(-30, min(30, x)))) for x in (*z, both)])
+
+
+def test_quality_of_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
+    model = cotrain.fit(docs, spark.createDataFrame([], "doc_id long, quality int"), ["quality"])[0]
+    assert cotrain.predict(docs, {"": model}).isEmpty()
+    assert cotrain.Model([], np.zeros(0, np.int64), np.zeros(0, np.int64)).cuts(np.zeros(0), np.zeros(0)) == (-np.inf, np.inf)
+
+
+def test_neighbours_of_floats(spark):
+    """The table's own type; sums are in double precision on the floats as they are."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(300, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    exact = v.astype(np.float64)
+    hit = 0
+    for r in knn.search(df, df.where("vec_id % 20 = 0")).collect():
+        s = knn.exact(exact, exact[r.query_id])
+        assert r.score == s[r.vec_id]
+        hit += s[r.vec_id] >= np.sort(np.delete(s, r.query_id))[-20]
+    assert hit >= 0.9 * 300
+
+
+def test_jaccard_of_many_equal_rows(spark):
+    """Copies of one text are indexed once: the result of 20,000 equal rows, a near copy and others."""
+    base = [f"w{i}" for i in range(60)]
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(" ".join(base)).alias("text")).repartition(8)
+    more = spark.createDataFrame([(30_000, " ".join([*base, "more"])), (30_001, "quite another text of seven words here"), (-5, " ".join(base[::-1]))], "doc_id long, text string")
+    got = jaccard.join(df.union(more)).groupBy("component_id").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).collect()
+    assert {(r.component_id, r.n, r["last"]) for r in got} == {(0, 20_001, 30_000), (30_001, 1, 30_001), (-5, 1, -5)}
