@@ -185,10 +185,10 @@ def csv_row(*cells: Column) -> Column:
     return F.concat_ws(",", *(quote(F.coalesce(c, F.lit(""))) for c in cells))
 
 
-def content_disposition(name: Column) -> Column:
-    """An attachment header with an ASCII fallback and the RFC 5987 form."""
+def content_disposition(name: Column, kind: str = "attachment") -> Column:
+    """A header (``attachment`` or ``inline``) with an ASCII fallback and the RFC 5987 form."""
     plain = F.regexp_replace(name, r'[^\x20-\x7e]|["\\]', "_")
     coded = F.url_encode(name)
     for a, b in (("+", "%20"), ("*", "%2A"), ("%21", "!"), ("%7E", "~")):
         coded = F.replace(coded, F.lit(a), F.lit(b))
-    return F.concat(F.lit('attachment; filename="'), plain, F.lit("\"; filename*=UTF-8''"), coded)
+    return F.concat(F.lit(f'{kind}; filename="'), plain, F.lit("\"; filename*=UTF-8''"), coded)
