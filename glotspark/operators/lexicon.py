@@ -48,19 +48,21 @@ def triples(concepts: DataFrame, langs: list[str]) -> DataFrame:
 def cycles(concepts: DataFrame) -> DataFrame:
     """(members): the sorted nodes of each cycle of ``broader``, once.
 
-    By doubling: after as many hops as there are nodes, every chain has ended or is on a cycle. So rounds grow with
-    the logarithm of the table, and every round moves one row for each node that is left.
+    By doubling hops: once twice as many hops end at as many nodes, every chain has ended and only cycles are left; once
+    twice as wide a window has the same smallest node everywhere, that is the cycle's. So rounds grow with the logarithm
+    of the longest chain, and every round moves one row for each node that is left.
     """
     own = concepts.select("id", F.col("broader").alias("up")).where("up IS NOT NULL")
-    jump, rounds = cut(own), 0
-    while 1 << rounds <= own.count():
+    jump, ends, before = own, own.select("up").distinct().count(), -1
+    while ends != before:
+        before = ends
         jump = cut(jump.select("id", F.col("up").alias("mid")).join(jump.select(F.col("id").alias("mid"), "up"), "mid").select("id", "up"))
-        rounds += 1
+        ends = jump.select("up").distinct().count()
     on = jump.select(F.col("up").alias("id")).distinct()
-    low = cut(own.join(on, "id").select("id", "up", F.least("id", "up").alias("low")))
-    for _ in range(rounds):
+    low = cut(own.join(on, "id").select("id", "up", F.least("id", "up").alias("low"), F.lit(True).alias("new")))
+    while not low.where("new").isEmpty():
         after = low.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("low").alias("other"))
-        low = cut(low.join(after, "up").select("id", F.col("next").alias("up"), F.least("low", "other").alias("low")))
+        low = cut(low.join(after, "up").select("id", F.col("next").alias("up"), F.least("low", "other").alias("low"), (F.col("other") < F.col("low")).alias("new")))
     return low.groupBy("low").agg(F.array_sort(F.collect_list("id")).alias("members")).select("members")
 
 
