@@ -9,8 +9,8 @@ each source's words come near its target too; no document has over ``limit`` cop
 
 The prefix sum is two-level, so that no task holds a source: each size class of a source is
 split by a hash of id and text into as many chunks as its count asks for (of about
-CHUNK_ROWS documents), the chunks' counts give each chunk its first rank by their prefix
-sums, and ranks within a chunk are a window over the chunk alone. Only the sources
+CHUNK_ROWS documents), the prefix sums of the classes' and the chunks' counts give each chunk
+its first rank, and ranks within a chunk are a window over the chunk alone. Only the sources
 themselves (a row each) meet in one task.
 
 Defined results: null text has size 0; the null source is a source of its own, ordered
@@ -29,7 +29,7 @@ from .shared import saved
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
-CHUNK_ROWS = 1 << 17
+CHUNK_ROWS = 1 << 10
 SEED = 17
 
 
@@ -72,8 +72,12 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sized = sized.alias("d").join(parts.alias("p"), F.expr("d.source <=> p.source AND d.class = p.class")).select("d.*", F.pmod("mark", "parts").alias("split"))
     chunks = sized.groupBy("source", "class", "split").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     sums = targets(chunks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, limit)
-    before = Window.partitionBy("source").orderBy("class", "split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = chunks.select("source", "class", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # First ranks in two steps: of a source's classes, and of a class's chunks.
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda n, w: F.coalesce(F.sum(n).over(w), F.lit(0))
+    classes = chunks.groupBy("source", "class").agg(F.sum("n").alias("n")).select("source", "class", upto("n", earlier("source").orderBy("class")).alias("first"))
+    within = chunks.select("source", "class", "split", upto("n", earlier("source", "class").orderBy("split")).alias("place"))
+    starts = within.alias("w").join(classes.alias("k"), F.expr("w.source <=> k.source AND w.class = k.class")).select("w.source", "w.class", "w.split", (F.col("first") + F.col("place")).alias("before"))
     starts = starts.alias("c").join(sums.alias("s"), F.expr("c.source <=> s.source")).select("c.source", "c.class", "c.split", "before", "source_size", "target")
     within = Window.partitionBy("source", "class", "split").orderBy("size", "doc_id", "mark")
     ranked = sized.withColumn("rank", F.row_number().over(within))
