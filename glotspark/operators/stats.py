@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .corpus import bounded_broadcast
+from .tables import cut
 
 def mcnemar(b: int, c: int) -> float:
     """Exact two-sided p of ``b`` against ``c`` discordant pairs; 1 without any."""
@@ -77,7 +78,7 @@ def noise_sweep(rows: DataFrame, rates: Sequence[float], seed: int = 0) -> DataF
     return out
 
 
-def merged_shards(shards: list[DataFrame], key: str) -> DataFrame:
+def merged_shards(shards: list[DataFrame], key: str | Column) -> DataFrame:
     """The rows of sorted shards in one order: by ``key``, ties by shard and by the place within it. A range partitioning and an external sort."""
     out = None
     for k, shard in enumerate(shards):
@@ -86,6 +87,21 @@ def merged_shards(shards: list[DataFrame], key: str) -> DataFrame:
     return out.orderBy(key, "shard", "place")
 
 
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """Rows of an ordered table with their number in it from 1, without one window over all: by their number in their partition and the rows of the partitions before.
+
+    The partitions are written first: sampling sets the bounds of a range partitioning, so that another run of the same plan deals rows otherwise.
+    """
+    part = F.spark_partition_id()
+    rows = cut(ordered.select("*", part.alias("__part"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias("__n")))
+    counts = {r["__part"]: r["count"] for r in rows.groupBy("__part").count().collect()}  # a row for each partition
+    before = [0]
+    for k in range(max(counts, default=0)):
+        before.append(before[-1] + counts.get(k, 0))
+    starts = F.array(*(F.lit(n).cast("long") for n in before))
+    return rows.withColumn(name, starts[F.col("__part")] + F.col("__n") + 1).drop("__part", "__n")
+
+
 def budget_threshold(scores: DataFrame, group: str, score: str, budget: int) -> DataFrame:
     """(group, threshold): the smallest score of the group that at most ``budget`` of its rows reach; groups without one are left out."""
     counts = scores.groupBy(group, score).agg(F.count("*").alias("n"))

@@ -218,16 +218,11 @@ def event_zscores(spark, sf_dir):
 
 @query("SELECT event_id, row_number() OVER (ORDER BY value, event_id % 3, event_id) AS place FROM events")
 def merged_order(spark, sf_dir):
-    events = read(spark, sf_dir, "events").select("event_id", "value")
-    shards = [events.where(F.col("event_id") % 3 == k).orderBy("value", "event_id") for k in range(3)]
-    # The order is numbered without one window over all: by the row's number in its range, and the rows of the ranges before.
-    ranged = S.merged_shards(shards, "value").withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    rows = ranged.groupBy("part").agg(F.count("*").alias("m")).collect()  # a row for each partition
-    before, total = {}, 0
-    for r in sorted(rows):
-        before[r.part], total = total, total + r.m
-    starts = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    return ranged.select("event_id", (starts[F.col("part")] + F.col("n") + 1).cast("long").alias("place"))
+    events, rest = read(spark, sf_dir, "events").select("event_id", "value"), F.col("event_id") % 3
+    by = [c.asc_nulls_last() for c in (F.col("value"), rest, F.col("event_id"))]
+    # Remainders of negative ids come before 0 and those of null ids last.
+    shards = [events.where(own).orderBy(*by) for own in (rest <= 0, rest == 1, (rest == 2) | rest.isNull())]
+    return S.numbered(S.merged_shards(shards, by[0]).select("event_id"), "place")
 
 
 @query(

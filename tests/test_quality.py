@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -19,6 +20,7 @@ from glotspark.operators import sequences as S
 from glotspark.operators import stats as ST
 from glotspark.operators import strategy as T
 from glotspark.operators import vocabulary as V
+from glotspark.plans import registry
 from glotspark.sources import sinks
 
 
@@ -201,6 +203,33 @@ def test_shards(spark):
     assert got == [(0, 3), (1, 0), (2, 1), (4, 0), (4, 0), (4, 1), (9, 0), (10, 3)]
 
 
+@pytest.mark.parametrize("odd", [False, True])
+def test_merged_order(spark, tmp_path, odd):
+    """Bounds of the ranges that another run draws otherwise, ties, and ids and values that are null, negative or not numbers."""
+    nan, rnd = float("nan"), random.Random(5)
+    rows = [(i, float(rnd.randrange(300))) for i in range(20_000)]
+    if odd:
+        rows += [(-i, rnd.choice([None, nan, 7.0, -0.0, 0.0])) for i in range(1, 300)] + [(None, 7.0), (None, None)]
+    spark.createDataFrame(rows, "event_id long, value double").repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    last = lambda x: (x is None, x != x, 0 if x is None or x != x else x)
+    rest = lambda i: None if i is None else math.copysign(abs(i) % 3, i)
+    want = sorted(rows, key=lambda r: (last(r[1]), last(rest(r[0])), last(r[0])))
+    few = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in few.items():
+            spark.conf.set(k, v)
+        got = registry.QUERIES["merged_order"](spark, str(tmp_path)).collect()
+    finally:
+        for k in few:
+            spark.conf.unset(k)
+    assert [r.event_id for r in sorted(got, key=lambda r: r.place)] == [r[0] for r in want] and {r.place for r in got} == set(range(1, len(rows) + 1))
+
+
+def test_numbered(spark):
+    assert ST.numbered(spark.range(0), "n").isEmpty()
+    assert sorted(tuple(r) for r in ST.numbered(spark.range(10, numPartitions=4).where("id > 3"), "n").collect()) == [(i, i - 3) for i in range(4, 10)]
+
+
 def test_longest_ok_run(spark):
     rnd = random.Random(4)
     rows, want = [], {}
