@@ -92,9 +92,13 @@ def token_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
             mask = np.ones(len(of), bool)
             mask[edge[1:] - 1] = False
             token[mask] = tokens.hashes(part, starts, ends)
+            del starts, ends, mask
             context = np.concatenate([[BEGIN], token[:-1]]) if len(token) else token
             context[edge[:-1]] = BEGIN
             yield token, context, of, ~held[i:j].astype(bool), batch.slice(i, j - i)
+            del token, context, of, part
+            tokens.trim()
+        del batch, data, held  # before the next one is read
 
 
 def _rows(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
@@ -146,13 +150,17 @@ def frequent(docs: DataFrame, share: int = HOT) -> tuple[Frequent, int]:
         # What makes 1 in ``share`` of all training tokens does so in some block.
         for token, context, of, train, _ in token_blocks(batches):
             kept = train[of]
-            w, h, least = token[kept], context[kept], max(1.0, np.count_nonzero(kept) / share)
+            w, h, least, size = token[kept], context[kept], max(1.0, np.count_nonzero(kept) / share), len(token)
+            del token, context, of, kept
             u, n = np.unique(w, return_counts=True)
             key, first, m = np.unique(pair_hash(h, w), return_index=True, return_counts=True)
             one, two = n >= least, m >= least
             ws, hs = np.concatenate([u[one], w[first[two]], U([0])]).view(np.int64), np.concatenate([np.zeros(np.count_nonzero(one), np.uint64), h[first[two]], U([0])]).view(np.int64)
             kind = np.repeat([1, 2, 0], [np.count_nonzero(one), np.count_nonzero(two), 1])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(hs), pa.array(ws), pa.array(np.concatenate([n[one], m[two], [len(token)]])), pa.array(np.concatenate([n[one], m[two], [len(w)]]))], names=["kind", "h", "w", "n", "m"])
+            times = np.concatenate([n[one], m[two]])
+            n, m = np.append(times, size), np.append(times, len(w))
+            del w, h, u, key, first, one, two
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(hs), pa.array(ws), pa.array(n), pa.array(m)], names=["kind", "h", "w", "n", "m"])
 
     rows = saved(docs.mapInArrow(candidates, "kind long, h long, w long, n long, m long").groupBy("kind", "h", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "katz-frequent")
     total = rows.where("kind = 0").first()
@@ -170,6 +178,7 @@ def frequent(docs: DataFrame, share: int = HOT) -> tuple[Frequent, int]:
             w = token[kept]
             for k, x in enumerate((w, pair_hash(context[kept], w))):
                 n[k] += np.bincount(_place(names[k], x) + 1, minlength=len(n[k]))
+            del token, context, of, kept, w, x
         for k in range(2):
             at = np.flatnonzero(n[k][1:])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(n[k][1:][at])], names=["kind", "at", "n"])
@@ -229,6 +238,7 @@ def _send(docs: DataFrame, buckets: int, hot: Frequent) -> DataFrame:
             table = np.bincount(doc * (2 * K + 3) + code, minlength=size * (2 * K + 3)).reshape(size, 2 * K + 3)
             out.append(("local", home, block, pack(base, logs, np.bincount(of[known], weights=hot.word_n[_place(hot.word, w)] > 0, minlength=size).astype(np.int32), table[:, 1:].astype(np.int32).reshape(-1))))
             w, h, of = token[~own], context[~own], of[~own]
+            del token, context, rows, ids, at, known, doc, n1, own, n2, seen, large, late, code, table
             if len(w):
                 key = pair_hash(h, w)
                 order = np.argsort(key, kind="stable")
@@ -237,9 +247,11 @@ def _send(docs: DataFrame, buckets: int, hot: Frequent) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (h[1:] != h[:-1])]))
                 times = np.diff(np.append(new, len(w)))
                 w, h, key = w[new], h[new], key[new]
+                del order
                 a, b = _numbered(hot, w), _numbered(hot, h)
                 part = np.where(a > 0, key, tokens.mix(w)) % U(buckets)
                 docs_of = of.astype(np.uint16 if size < 1 << 16 else np.uint32)
+                del of, key
                 bits = np.packbits(train)
                 for k, x in _runs(part, buckets):
                     x = x[np.lexsort((b[x], a[x]))]
@@ -251,6 +263,7 @@ def _send(docs: DataFrame, buckets: int, hot: Frequent) -> DataFrame:
                     if len(out) == 64:
                         yield _rows(out)
                         out = []
+            del w
             yield _rows(out)
             block += 1
 
@@ -271,7 +284,7 @@ class Part:
     def __init__(self) -> None:
         self.n2, self.n1, self.n = np.zeros(K + 3, np.int64), np.zeros(K + 3, np.int64), 0
         self.tokens: list[tuple[np.ndarray, ...]] = []
-        self.contexts = np.zeros(0, np.uint64), np.zeros((2 * K + 2, 0), np.int64)
+        self.seen: list[tuple[np.ndarray, ...]] = []
         self.unseen: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, w: np.ndarray, h: np.ndarray, size: np.ndarray, doc: np.ndarray, train: np.ndarray, hot: Frequent) -> None:
@@ -299,20 +312,22 @@ class Part:
         self.tokens.append((doc, c2[of_group].astype(np.int32), c1[word[of_group]].astype(np.int32), flag[of_group]))
         x = np.flatnonzero(c2[of_group] == 0)
         self.unseen.append((hs[of_group[x]], doc[x]))
-        # Statistics of contexts, from bigrams seen in training.
+        # Bigrams seen in training, for the statistics of their contexts.
         kept = c2 > 0
-        names, stats = context_stats(hs[kept], c2[kept], c1[word[kept]])
-        names, back = np.unique(np.concatenate([self.contexts[0], names]), return_inverse=True)
-        both = (np.concatenate([a, b]) for a, b in zip(self.contexts[1], stats, strict=True))
-        self.contexts = names, np.stack([np.bincount(back, weights=x, minlength=len(names)).astype(np.int64) for x in both])
+        self.seen.append((hs[kept], _classes(c2[kept]).astype(np.uint8), c1[word[kept]]))
 
 
 def context_stats(h: np.ndarray, c2: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Contexts of distinct seen bigrams, and for each: bigrams by class of their count, words by class of theirs, and the larger words' counts."""
     names, back = np.unique(h, return_inverse=True)
     r2, r1, n = _classes(c2), _classes(c1), len(names)
-    rows = [*(np.bincount(back[r2 == r], minlength=n) for r in range(1, K + 2)), *(np.bincount(back[r1 == r], minlength=n) for r in range(1, K + 1)), np.bincount(back[r1 > K], weights=c1[r1 > K], minlength=n)]
-    return names, np.stack(rows).astype(np.int64)
+    stats = np.empty((2 * K + 2, n), np.int64)  # row by row: a partition's contexts are many
+    for r in range(1, K + 2):
+        stats[r - 1] = np.bincount(back[r2 == r], minlength=n)
+    for r in range(1, K + 1):
+        stats[K + r] = np.bincount(back[r1 == r], minlength=n)
+    stats[2 * K + 1] = np.bincount(back[r1 > K], weights=c1[r1 > K], minlength=n)
+    return names, stats
 
 
 def _by_context(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -327,15 +342,24 @@ def _by_block(doc: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield k, order[bounds[k] : bounds[k + 1]]
 
 
+def _joined(rows: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Columns of rows of arrays, each in one array; the rows are used up."""
+    columns = [list(x) for x in zip(*rows, strict=True)][::-1]
+    rows.clear()
+    return [np.concatenate(columns.pop()) for _ in range(len(columns))]
+
+
 def _count(pairs: list[tuple[int, bytes]], buckets: int, hot: Frequent, part_tokens: int) -> Iterator[tuple[str, int, int, bytes]]:
-    """One partition by word: each token's counts, statistics by context, unseen bigrams, counts of counts."""
+    """One partition by word: each token's counts, statistics by context, unseen bigrams, counts of counts. Uses ``pairs`` up, and holds no table longer than it needs it."""
     blocks = np.array([b for b, _ in pairs], np.int64)
-    held: list[list[np.ndarray]] = [[] for _ in range(5)]
-    for k, (_, payload) in enumerate(pairs):
-        for to, x in zip(held, _sent(payload, hot), strict=True):
-            to.append(x)
-        held[3][-1] = held[3][-1].astype(np.int64) | k << 32
-    train, doc, size, h, w = (np.concatenate(held.pop()) for _ in range(5))
+    held = []
+    for k in range(len(pairs)):
+        w, h, size, doc, train = _sent(pairs[k][1], hot)
+        pairs[k] = None
+        held.append((w, h, size, doc.astype(np.int64) | k << 32, train))
+    pairs.clear()
+    w, h, size, doc, train = _joined(held)
+    tokens.trim()
     steps = max(1, math.ceil(len(doc) / part_tokens))
     done = Part()
     if steps == 1:
@@ -346,23 +370,27 @@ def _count(pairs: list[tuple[int, bytes]], buckets: int, hot: Frequent, part_tok
         for _, x in _runs(step, steps):
             at, _ = expand(edge[x], edge[x + 1])
             done.add(w[x], h[x], size[x], doc[at], train[at], hot)
-        del step, edge, at
+        del step, edge, at, x
     del w, h, size, doc, train
+    tokens.trim()
     yield "counts", 0, 0, pack(done.n2, done.n1, np.array([done.n]))
-    doc, n2, n1, flag = (np.concatenate(x) for x in zip(*done.tokens, strict=True))
-    done.tokens.clear()
+    doc, n2, n1, flag = _joined(done.tokens)
     told = (flag & 1 > 0) | (n2 == 0)  # a seen token of a hot word needs no word count
     for k, x in _by_block(doc, len(blocks)):
         yield "tokens", 0, int(blocks[k]), pack((doc[x] & 0xFFFFFFFF).astype(np.int32), n2[x], flag[x], n1[x][told[x]])
-    names, stats = done.contexts
+    del doc, n2, n1, flag, told, x
+    tokens.trim()
+    names, stats = context_stats(*_joined(done.seen))
     number = _place(hot.wide, names)
     if (number >= 0).any():
         yield "wide", 0, 0, pack(number[number >= 0].astype(np.int32), *stats[:, number >= 0])
-    names, stats = names[number < 0], stats[:, number < 0]
-    for b, x in _runs(_by_context(names, buckets), buckets):
-        yield "contexts", b, 0, pack(names[x], *stats[:, x])
+    cold = np.flatnonzero(number < 0)
+    for b, x in _runs(_by_context(names[cold], buckets), buckets):
+        yield "contexts", b, 0, pack(names[cold[x]], *stats[:, cold[x]])
+    del names, stats, number, cold
+    tokens.trim()
     # Unseen bigrams wait for their contexts' weights; those of wide contexts find them with their block.
-    context, doc = np.concatenate([x[0] for x in done.unseen]), np.concatenate([x[1] for x in done.unseen])
+    context, doc = _joined(done.unseen)
     number = _place(hot.wide, context)
     x = np.flatnonzero(number >= 0)
     for k, y in _by_block(doc[x], len(blocks)):
@@ -421,17 +449,23 @@ class Constants:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of sorted batches, group by group."""
+    """Rows of sorted batches, group by group; only the group's own are copied. What others left free before goes back to the system."""
     at, held = None, []
+    tokens.trim()
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at is not None and row[column] != at:
+        of = batch.column(column).to_pylist()
+        for i in range(len(of)):
+            if at is not None and of[i] != at:
                 yield at, held
                 held = []
-            at = row[column]
-            held.append(row)
+                tokens.trim()
+            at = of[i]
+            held.append(tuple(c[i].as_py() for c in batch.columns))
+        del batch
     if held:
         yield at, held
+    held = None
+    tokens.trim()
 
 
 def _wide_stats(table: DataFrame, hot: Frequent) -> np.ndarray:
@@ -477,8 +511,8 @@ def score(docs: DataFrame, share: int = HOT, bucket_tokens: int = BUCKET_TOKENS,
             if out:
                 yield _rows(out)
 
-    sent = _send(docs, buckets, hot)
-    table = saved(sent.repartition("part").sortWithinPartitions("part", "block").mapInArrow(count, ROW), "katz")
+    sent = _send(docs, buckets, hot)  # a task for each part below: dealt by hash, several would meet in one
+    table = saved(sent.repartitionById(buckets, F.col("part").cast("int")).sortWithinPartitions("part", "block").mapInArrow(count, ROW), "katz")
     n2, n1, n, train_docs = np.zeros(K + 3, np.int64), np.zeros(K + 3, np.int64), 0, 0
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,8 +555,11 @@ def score(docs: DataFrame, share: int = HOT, bucket_tokens: int = BUCKET_TOKENS,
             own = _by_context(extra, buckets) == U(part)
             tables.append([extra[own], *extra_stats[:, own]])
             names, back = np.unique(np.concatenate([t[0] for t in tables]), return_inverse=True)
-            stats = np.stack([np.bincount(back, weights=np.concatenate([t[k] for t in tables]), minlength=len(names)) for k in range(1, 2 * K + 3)])
+            stats = np.empty((2 * K + 2, len(names)))
+            for k in range(1, 2 * K + 3):
+                stats[k - 1] = np.bincount(back, weights=np.concatenate([t[k] for t in tables]), minlength=len(names))
             left = constants.leftover(stats) if len(names) else np.zeros(0)
+            del tables, back, stats
             found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             for r in rows:
                 if r[0] != "unseen" or not len(names):
@@ -545,7 +582,7 @@ def score(docs: DataFrame, share: int = HOT, bucket_tokens: int = BUCKET_TOKENS,
             if out:
                 yield _rows(out)
 
-    backed = table.where("kind IN ('contexts', 'unseen')").repartition("part").sortWithinPartitions("part").mapInArrow(weigh, ROW)
+    backed = table.where("kind IN ('contexts', 'unseen')").repartitionById(buckets, F.col("part").cast("int")).sortWithinPartitions("part").mapInArrow(weigh, ROW)
     two, one = np.log10(np.maximum(constants.two, 1e-300)), np.log10(np.maximum(constants.one, 1e-300))
     base_log = math.log10(constants.n + 0.5 * (constants.vocabulary + 1)) if constants.n or constants.vocabulary else 0.0
     begin = math.log10(train_docs) if train_docs else 0.0

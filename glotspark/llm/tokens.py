@@ -32,6 +32,11 @@ def _trimmer():
 _TRIM = _trimmer()
 
 
+def trim() -> None:
+    """What is free goes back to the system."""
+    _TRIM(0)
+
+
 def _class(delimiters: list[tuple[int, int]]) -> np.ndarray:
     kept = np.ones(256, bool)
     for a, b in delimiters:
@@ -75,7 +80,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     What the batch before left free goes back to the system: Python workers live on from stage to stage beside a full heap.
     """
-    _TRIM(0)
+    trim()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
