@@ -30,7 +30,8 @@ from . import tokens
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
-SHARD_BYTES = 4 << 20
+#: An index and what builds it take some 20 times a shard's bytes.
+SHARD_BYTES = 1 << 20
 SAMPLE = 16
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 _WORD = T.StructType([T.StructField("at", T.IntegerType()), *_SPAN.fields])

@@ -43,8 +43,10 @@ from .shared import Scratch, saved
 
 #: A shingle is common when this share of the documents holds it; at most COMMON_MOST are told apart.
 COMMON_SHARE, COMMON_MOST = 1 / 500, 1 << 17
-#: Shingles that a Python worker gathers before it hands them on.
-HELD = 1 << 20
+#: Shingles that a Python worker counts at once, and those that it hands on at once.
+HELD, SENT = 1 << 20, 1 << 18
+#: Classes of equal sets that a Python worker remembers, so as not to hand them on again.
+MET = 10_000
 #: Documents are picked by a bitmap of their hashes (at most 32 MB) up to so many, by a join beyond.
 PICKED = 1 << 24
 
@@ -85,17 +87,17 @@ def common(docs: DataFrame, width: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(s[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["s", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            held: list[np.ndarray] = []
-            size = 0
             for _, s in _sets(batch, width):
                 held.append(s)
                 size += len(s)
                 if size > HELD:
                     yield counted_in(held)
                     held, size = [], 0
-            if held:
-                yield counted_in(held)
+        if held:
+            yield counted_in(held)
 
     total = docs.count()
     counted = docs.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
@@ -174,7 +176,7 @@ class Picked:
 
 
 def prefixes(chosen: Picked, width: int, percent: int, salt: int, order: np.ndarray) -> DataFrame:
-    """For each document (each class of equal sets once a batch) its set's key, the set's size, and its prefix in the shared order, each shingle with the one before it."""
+    """For each document (each class of equal sets once a slice of the table) its set's key, the set's size, and its prefix in the shared order, each shingle with the one before it."""
     shared, wanted = chosen.rows.sparkSession.sparkContext.broadcast((np.sort(order), np.argsort(order, kind="stable"))), chosen.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +188,10 @@ def prefixes(chosen: Picked, width: int, percent: int, salt: int, order: np.ndar
             pair = pa.StructArray.from_arrays([pa.array(s), pa.array(np.concatenate([s[:1], s[:-1]]))], names=["s", "prev"])
             return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), pair)], names=["node", "n", "prefix"])
 
+        node, n, kept, size, met = [], [], [], 0, set()
         for batch in batches:
-            node, n, kept, size, met = [], [], [], 0, set()
+            if len(met) > MET:
+                met.clear()
             for _, s in _sets(batch, width, Picked.mask(wanted, batch)):
                 key = keys(s, salt)[0] if len(s) else None
                 if key is None or key in met:
@@ -199,13 +203,13 @@ def prefixes(chosen: Picked, width: int, percent: int, salt: int, order: np.ndar
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     late = frequent[at] == s
                     s = np.concatenate([s[~late], s[late][np.argsort(place[at[late]])]])
-                kept.append(s[: prefix_length(n[-1], percent)].view(np.int64))
+                kept.append(s[: prefix_length(n[-1], percent)].copy().view(np.int64))
                 size += len(kept[-1])
-                if size > HELD:
+                if size > SENT:
                     yield row(node, n, kept)
                     node, n, kept, size = [], [], [], 0
-            if node:
-                yield row(node, n, kept)
+        if node:
+            yield row(node, n, kept)
 
     return chosen.rows.mapInArrow(run, "node long, n int, prefix array<struct<s:long,prev:long>>")
 
@@ -221,8 +225,10 @@ def _sets_of(chosen: Picked, width: int, salt: int) -> DataFrame:
     wanted = chosen.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, size, met = [], [], 0, set()
         for batch in batches:
-            nodes, sets, size, met = [], [], 0, set()
+            if len(met) > MET:
+                met.clear()
             for _, s in _sets(batch, width, Picked.mask(wanted, batch)):
                 key = keys(s, salt)[0] if len(s) else None
                 if key is None or key in met:
@@ -231,11 +237,11 @@ def _sets_of(chosen: Picked, width: int, salt: int) -> DataFrame:
                 nodes.append(key)
                 sets.append(s.view(np.int64))
                 size += len(s)
-                if size > HELD:
+                if size > SENT:
                     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
                     nodes, sets, size = [], [], 0
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     return chosen.rows.mapInArrow(run, "node long, set array<long>")
 

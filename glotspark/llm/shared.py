@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Used only by a session on one machine that names no shared folder, as in tests.
 OWN_ROOT = "/tmp/checkpoints/glotspark"
+#: Spark's own bounds let a task hold 10,000 rows at once, on either side of the pipe to Python.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python batches of about 4 MB (or one row), unless it has a bound of its own. No result depends on it."""
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
+
+
 def crc_fold(column, n: int):
     """crc32 of the id written as text, modulo ``n`` (null id: null)."""
     return F.crc32(column.cast("string").cast("binary")) % n

@@ -8,10 +8,13 @@ import re
 import string
 import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glotspark.llm import chat, cotrain, crf, fmindex, jaccard, katz, knn, langid, mixing, warc
 
@@ -140,6 +143,28 @@ def test_katz_memory():
     assert most < 260 * blocks * n, most / blocks / n
 
 
+def test_decontamination_memory():
+    """What a worker holds beside a batch follows the shard, not the batch."""
+    rng = np.random.default_rng(1)
+    item = " ".join(f"word{k}" for k in range(500))
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 500, 400)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, item])], names=["text"])
+    shared = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value))
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=shared), schema=T.StructType([T.StructField("text", T.StringType())]), mapInArrow=lambda run, _: run)
+    run = fmindex._search(docs, fmindex.Patterns([("i", item)], 10), "text", "__found")
+    list(run(iter([batch.slice(0, 10)])))  # what is made once
+    tracemalloc.start()
+    try:
+        (out,) = run(iter([batch]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    found = out.column(1).to_pylist()
+    assert found[-1]["n_hit"] == 500 and found[-1]["items"] == ["i"] and not any(f["n_hit"] for f in found[:-1])
+    assert batch.nbytes > 8 << 20
+    assert most < 40 << 20, most / 2**20
+
+
 @pytest.mark.parametrize("sizes", [{}, {"share": 40, "bucket_tokens": 2500, "part_tokens": 100}, {"share": 1}])
 def test_katz(spark, docs, sizes):
     base = docs.where("doc_id IS NOT NULL").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)

@@ -5,6 +5,7 @@ import math
 import re
 
 import duckdb
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
@@ -162,6 +163,26 @@ def test_odd_rows(spark):
         assert stage(spark, odd.limit(0), DIR).isEmpty()
 
 
+def test_stages_hand_python_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    docs = spark.range(200).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 20_000)).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+    for name, stage in p.STAGES[:-1]:
+        spark.conf.unset(key)
+        stage(spark, docs.limit(3), DIR)
+        got = docs.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 200, name
+        assert max(r.bytes for r in got) < 5 << 20, name
+    spark.conf.set(key, "7m")
+    p.decontamination(spark, docs, DIR)
+    assert spark.conf.get(key) == "7m"  # the session's own bound
+    spark.conf.unset(key)
+
+
 def test_texts_longer_than_a_slice(spark):
     """A text of over 1 MB in every operator that cuts batches into slices."""
     from glotspark.llm import cotrain, fmindex, jaccard, katz
